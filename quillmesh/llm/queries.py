@@ -1,0 +1,22 @@
+"""Queries of the training-data operators over the driver's tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillmesh.llm.bpe import encode
+from quillmesh.llm.containers import fill_containers
+from quillmesh.sources.tables import table
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = encode(table(spark, sf, "documents"), "doc_id", "text", ids=False)
+    return fill_containers(sizes, "doc_id")
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers}
+SQL: dict[str, str] = {}
