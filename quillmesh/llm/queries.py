@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm.bpe import encode
 from quillmesh.llm.containers import fill_containers
+from quillmesh.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from quillmesh.llm.setjoin import similar_sets
 from quillmesh.sources.tables import table
 
 
@@ -18,5 +20,17 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return fill_containers(sizes, "doc_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_sets(table(spark, sf, "segments_raw"), "ord", "taxonomy_tags", threshold=0.7, min_size=6)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, sf, "documents"), "doc_id", "title", "text", threshold=0.6, shingle=3)
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf, "documents"), "doc_id", "title", "text")
+
+
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
