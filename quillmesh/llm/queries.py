@@ -8,6 +8,7 @@ from quillmesh.llm.bpe import encode
 from quillmesh.llm.containers import fill_containers
 from quillmesh.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from quillmesh.llm.setjoin import similar_sets
+from quillmesh.llm.split import pieces, section_openings
 from quillmesh.sources.tables import table
 
 
@@ -20,6 +21,14 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return fill_containers(sizes, "doc_id")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return section_openings(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_sets(table(spark, sf, "segments_raw"), "ord", "taxonomy_tags", threshold=0.7, min_size=6)
 
@@ -32,5 +41,5 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf, "documents"), "doc_id", "title", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
