@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmesh.llm.bpe import encode
 from quillmesh.llm.containers import fill_containers
 from quillmesh.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from quillmesh.llm.private_data import find_private, redact
 from quillmesh.llm.setjoin import similar_sets
 from quillmesh.llm.split import pieces, section_openings
 from quillmesh.sources.tables import table
@@ -41,5 +42,13 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf, "documents"), "doc_id", "title", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_private(table(spark, sf, "documents"), "doc_id", "text", "lang")
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redact(table(spark, sf, "documents"), "doc_id", "text", "lang")
+
+
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
