@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmesh.llm.bpe import encode
+from quillmesh.llm.canonical_map import load_reference, map_names, misses
 from quillmesh.llm.containers import fill_containers
 from quillmesh.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from quillmesh.llm.private_data import find_private, redact
@@ -30,6 +32,22 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    registry = table(spark, sf, "registry").where("entity_type = 'organizations'")
+    reference = load_reference(registry, "entity_id", "canonical_name", "acronym", "aliases")
+    entries = table(spark, sf, "entity_record").select("record_id", F.posexplode("organizations").alias("at", "o"))
+    entries = entries.select("record_id", F.col("at").cast("bigint").alias("org_pos"), F.col("o.name").alias("name"))
+    return map_names(entries, "name", reference)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped(spark, sf).select("record_id", "org_pos", "entity_id")
+
+
+def p3_misses(spark: SparkSession, sf: str) -> DataFrame:
+    return misses(_mapped(spark, sf), "name")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_sets(table(spark, sf, "segments_raw"), "ord", "taxonomy_tags", threshold=0.7, min_size=6)
 
@@ -50,5 +68,5 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redact(table(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p10_found": p10_found, "p10_redacted": p10_redacted, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
