@@ -97,12 +97,14 @@ class Reference:
         readings = []
         for w in typed:
             rare = self.near_rare(w, others) if len(w) > 5 else []
-            readings.append((rare, self.common.readings(w)))
-        candidates = {p for rare, _ in readings for r, _ in rare for p in self.profiles[r]}
+            readings.append((w, rare, self.common.readings(w)))
+        # the plainest words first, so that an abbreviation does not take the place of a word written out
+        readings.sort(key=lambda x: min([d for _, d in [*x[1], *x[2]]], default=9.0))
+        candidates = {p for _, rare, _ in readings for r, _ in rare for p in self.profiles[r]}
         ranked = []
         for p in candidates:
             cost, used, kept = 0.0, set(), True
-            for w, (rare, common) in zip(typed, readings):
+            for w, rare, common in readings:
                 options = [(d, r) for r, d in [*rare, *common] if r in p.words and r not in used]
                 if not options and not (common and common[0][1] == 0):
                     options = [(d, r) for r in p.words - p.rare - used if (d := garbled(w, r)) < 9]

@@ -12,6 +12,7 @@ from quillmesh.llm.near_duplicates import near_duplicate_groups, near_duplicate_
 from quillmesh.llm.private_data import find_private, redact
 from quillmesh.llm.setjoin import similar_sets
 from quillmesh.llm.split import pieces, section_openings
+from quillmesh.llm.variants import variant_keys, variant_pairs
 from quillmesh.sources.tables import table
 
 
@@ -32,9 +33,30 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+def _reference(spark: SparkSession, sf: str):
     registry = table(spark, sf, "registry").where("entity_type = 'organizations'")
-    reference = load_reference(registry, "entity_id", "canonical_name", "acronym", "aliases")
+    return load_reference(registry, "entity_id", "canonical_name", "acronym", "aliases")
+
+
+_ANNOTATION = ("annotation_id", "doc_id", "entity_type", "name", "title", "acronym")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = _reference(spark, sf).common.frequency
+    return variant_pairs(table(spark, sf, "manual_annotations"), vocabulary, *_ANNOTATION)
+
+
+def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = _reference(spark, sf).common.frequency
+    keys = variant_keys(table(spark, sf, "manual_annotations"), vocabulary, *_ANNOTATION)
+    size = F.count("*").alias("n_rows")
+    return keys.join(keys.groupBy("entity").agg(size, F.min("id").alias("first_id")), "entity").select(
+        F.col("id").alias("annotation_id"), "first_id", "n_rows"
+    )
+
+
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    reference = _reference(spark, sf)
     entries = table(spark, sf, "entity_record").select("record_id", F.posexplode("organizations").alias("at", "o"))
     entries = entries.select("record_id", F.col("at").cast("bigint").alias("org_pos"), F.col("o.name").alias("name"))
     return map_names(entries, "name", reference)
@@ -68,5 +90,5 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redact(table(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p10_found": p10_found, "p10_redacted": p10_redacted, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_misses": p3_misses, "p10_found": p10_found, "p10_redacted": p10_redacted, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {}
