@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.plans import data_quality
+from quillmesh.plans import data_quality, graphs, records
 
-_MODULES = [data_quality]
+_MODULES = [data_quality, graphs, records]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return data_quality.p7_counts(spark, sf)
+    return QUERIES["neighborhood_both"](spark, sf)
