@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quillmesh.llm.names import Lookup, Vocabulary, acronym_of, fold, garbled, words
+from quillmesh.llm.names import Lookup, Vocabulary, acronym_of, fold, garbled, shortens, words
 
 UNMATCHED = "unmatched"
 REFERENCE_ROWS = 50_000
@@ -107,7 +107,7 @@ class Reference:
             for w, rare, common in readings:
                 options = [(d, r) for r, d in [*rare, *common] if r in p.words and r not in used]
                 if not options and not (common and common[0][1] == 0):
-                    options = [(d, r) for r in p.words - p.rare - used if (d := garbled(w, r)) < 9]
+                    options = [(d, r) for r in p.words - used if (d := shortens(w, r) if r in p.rare else garbled(w, r)) < (0.4 if r in p.rare else 9)]
                 if not options:
                     kept = False
                     break
@@ -142,6 +142,7 @@ def map_names(
     df: DataFrame, name: str, reference: Reference, out: str = "entity_id"
 ) -> DataFrame:
     """``df`` with column ``out``: the key of the entry that ``name`` means, or ``unmatched``."""
+    df = df.drop(out)
     sc = df.sparkSession.sparkContext
     ref = sc.broadcast(reference)
     distinct = df.select(F.col(name).alias("n")).where(F.col("n").isNotNull()).groupBy("n").agg(F.count("*").alias("rows"))
