@@ -91,4 +91,17 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_misses": p3_misses, "p10_found": p10_found, "p10_redacted": p10_redacted, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": """
+WITH r AS (SELECT ord, list_distinct(list_filter(list_transform(taxonomy_tags, lambda x: lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))),
+                                                 lambda x: x IS NOT NULL AND x <> '')) AS s FROM segments_raw),
+u AS (SELECT ord, len(s) AS n, unnest(s) AS t FROM r WHERE len(s) >= 6),
+p AS (SELECT a.ord AS ord_a, b.ord AS ord_b, count(*) AS i, any_value(a.n + b.n) AS n FROM u a JOIN u b ON a.t = b.t AND a.ord < b.ord GROUP BY ALL)
+SELECT ord_a, ord_b FROM p WHERE i / CAST(n - i AS DOUBLE) >= 0.7""",
+    "p5_found": """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 40),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS i, any_value(a.n + b.n) AS n FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_id_a, doc_id_b FROM p WHERE i / CAST(n - i AS DOUBLE) >= 0.6""",
+}
