@@ -7,11 +7,16 @@ re-read and never a failed job.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOT = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -28,9 +33,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a session, unless their Python already looks where it lies."""
+    app = spark.sparkContext.applicationId
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if app in _shipped or str(_ROOT) in map(os.path.realpath, filter(None, known)):
+        return
+    _shipped.add(app)
+    folder = tempfile.mkdtemp(prefix="quillmesh-package-")  # the driver serves the file from here while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/quillmesh-package", "zip", _ROOT, "quillmesh"))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the session names none (tests, local runs)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
