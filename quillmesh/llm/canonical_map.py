@@ -7,8 +7,9 @@ rarest among them included. Candidates are ranked by the summed distance, then b
 in the whole data. The typed names are matched where they lie, each distinct one once a task: nothing is shuffled, so
 a name that a third of all rows carry costs nothing more.
 
-A distinctive word near one of the list, but itself used in many differently typed names, is another name and not an
-error; these words are counted over the whole data first.
+A distinctive word near one of the list is another name and not an error where most of its mentions stand in names that
+fit no entry, and it makes up a fair share of all mentions of the word it resembles and those around it. Both are shares
+of the mentions of the whole data, so the verdict does not change with their number.
 
 Defined results: NULL and blank names, acronyms of several entries and names of several equally good entries are
 ``unmatched``; case, accents, blanks, articles and a possessive do not count.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmesh.llm.names import Lookup, Vocabulary, acronym_of, fold, garbled, shortens, words
+from quillmesh.session import materialize
 
 UNMATCHED = "unmatched"
 REFERENCE_ROWS = 50_000
-OTHER_NAME = 4
-LISTED = 100_000
+OTHER_SHARE = 1 / 8
 
 
 class Profile(NamedTuple):
@@ -94,6 +95,18 @@ class Reference:
         typed = words(text)
         if len(typed) < 2:
             return next(iter(self.acronyms[hint])) if hint and len(self.acronyms[hint]) == 1 else UNMATCHED
+        ranked = self._ranked(typed, hint, others, frequency or {})
+        if not ranked:
+            return UNMATCHED
+        rivals = {e for c, f, e in ranked if (c, f) == ranked[0][:2]}
+        return ranked[0][2] if len(rivals) == 1 else UNMATCHED
+
+    def fits(self, name: str) -> bool:
+        """Whether the words of ``name`` are those of an entry, typing errors undone; of several entries, too."""
+        return bool(self._ranked(words(re.sub(r"\([^()]*\)\s*$", "", fold(name))), "", frozenset(), {}))
+
+    def _ranked(self, typed: list[str], hint: str, others: frozenset[str], frequency: dict[str, int]) -> list[tuple[float, int, str]]:
+        """``(cost, -frequency, entry)`` of the entries that hold all words, the best first."""
         readings = []
         for w in typed:
             rare = self.near_rare(w, others) if len(w) > 5 else []
@@ -115,20 +128,8 @@ class Reference:
                 cost += d
                 used.add(r)
             if kept and used & p.rare and len(used) > 1:
-                ranked.append((cost - (0.5 if hint and p.entity in self.acronyms[hint] else 0), -(frequency or {}).get(p.entity, 0), p.entity))
-        if not ranked:
-            return UNMATCHED
-        ranked.sort()
-        rivals = {e for c, f, e in ranked if (c, f) == ranked[0][:2]}
-        return ranked[0][2] if len(rivals) == 1 else UNMATCHED
-
-
-def _texts(df: DataFrame, name: str, run: Callable[[list[str | None]], pa.RecordBatch], schema: str) -> DataFrame:
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield run(batch.column(0).to_pylist())
-
-    return df.select(name).mapInArrow(each, schema)
+                ranked.append((cost - (0.5 if hint and p.entity in self.acronyms[hint] else 0), -frequency.get(p.entity, 0), p.entity))
+        return sorted(ranked)
 
 
 def load_reference(reference: DataFrame, key: str, name: str, acronym: str, aliases: str) -> Reference:
@@ -147,16 +148,30 @@ def map_names(
     ref = sc.broadcast(reference)
     distinct = df.select(F.col(name).alias("n")).where(F.col("n").isNotNull()).groupBy("n").agg(F.count("*").alias("rows"))
 
-    def near(names: list[str | None]) -> pa.RecordBatch:
-        found: Counter[str] = Counter()
-        for n in names:
-            for w in {re.sub(r"[.']", "", w) for w in words(fold(n))}:
-                if len(w) > 5 and w not in ref.value.rare.entries and ref.value.rare.near(w):
-                    found[w] += 1
-        return pa.record_batch({"w": pa.array(found.keys(), pa.string()), "c": pa.array(found.values(), pa.int64())})
-
-    counted = _texts(distinct, "n", near, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
-    others = frozenset(r[0] for r in counted.where(F.col("c") >= OTHER_NAME).orderBy(F.desc("c"), "w").limit(LISTED).collect())
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Mentions of distinctive words and of words near them, and how many of these stand in names of no entry."""
+        for batch in batches:
+            found: Counter[tuple[str, str]] = Counter()
+            against: Counter[tuple[str, str]] = Counter()
+            for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fits = None
+                for w in {re.sub(r"[.']", "", w) for w in words(fold(n))}:
+                    if w in ref.value.rare.entries:
+                        found[w, w] += c
+                    elif len(w) > 5 and (alike := ref.value.rare.near(w)):
+                        fits = ref.value.fits(n) if fits is None else fits
+                        for r, _ in alike:
+                            found[w, r] += c
+                            against[w, r] += 0 if fits else c
+            cols = [pa.array([k[i] for k in found], pa.string()) for i in (0, 1)] + [pa.array([x[k] for k in found], pa.int64()) for x in (found, against)]
+            yield pa.RecordBatch.from_arrays(cols, ["w", "r", "c", "against"])
+
+    counted = distinct.mapInArrow(near, "w string, r string, c bigint, against bigint").groupBy("w", "r").agg(F.sum("c").alias("c"), F.sum("against").alias("against"))
+    counted = materialize(counted, "near")
+    around = counted.groupBy("r").agg(F.sum("c").alias("around"))
+    shares = counted.where("w <> r").join(around, "r").groupBy("w").agg(F.min(F.col("c") / F.col("around")).alias("share"), F.max(F.col("against") / F.col("c")).alias("against"))
+    # by their share at most eight for every word of the list
+    others = frozenset(r[0] for r in shares.where((F.col("share") >= OTHER_SHARE) & (F.col("against") > 0.5)).select("w").collect())
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
