@@ -7,7 +7,8 @@ Bootstrapped contextual extraction:
    number, the last word of a name), with the count of seeds: numbers beside a plain cue word or with a country
    prefix, names after a form of address.
 2. Spark scores the pattern-instance graph in rounds: an instance by its seeds and by its patterns, a pattern by its
-   instances. Patterns, shapes and name words that reach the threshold become the model, each list held to a fixed size.
+   instances. Patterns, shapes and name words that reach the threshold become the model. Of each list a fixed number,
+   the most frequent, is broadcast; the rest, if there is any, is joined to the texts that hold one of its entries.
 3. A second pass applies the model: known patterns discover instances never seen with a seed, known name words are
    found in contexts of their own, and lower-case names are found between known patterns. E-mail addresses and postal
    addresses are found by their form.
@@ -76,6 +77,7 @@ _SPACED = re.compile(r"\S+")
 _ANY = r"(?:[^\W\d_](?:\.|[^\W\d_]*(?:['’-][^\W\d_]+)*))"
 _LOWER = re.compile(rf"{_GAP}?({_ANY}(?:,?{_GAP}{_ANY}){{1,3}})")
 _LOWER_BEFORE = re.compile(rf"(?<![\w'’-])({_ANY}(?:,?{_GAP}{_ANY}){{1,3}}){_GAP}?$")
+_NAME_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _NEXT_NAME = re.compile(rf"(?:,|;|{_GAP}(?:and|et|und|y)){_GAP}")
 
 
@@ -284,21 +286,75 @@ class Model(NamedTuple):
     patterns: frozenset[str]
     first: frozenset[str]
     last: frozenset[str]
-    before: tuple[str, ...]
-    after: tuple[str, ...]
+    before: frozenset[str]
+    after: frozenset[str]
 
 
-def learn(df: DataFrame, key: str, text: str, lang: str) -> Model:
-    """The model of a corpus: at most ``LISTED`` entries a list; the rest of a list is decided by the other lists."""
+class _Both:
+    """A list of the model with further entries."""
+
+    def __init__(self, head, more) -> None:
+        self.head, self.more = head, more
+
+    def __contains__(self, k: str) -> bool:
+        return k in self.head or k in self.more
+
+    def __getitem__(self, k: str):
+        return self.head[k] if k in self.head else self.more[k]
+
+    def get(self, k: str, default):
+        return self[k] if k in self else default
+
+
+def _model(entries: list[tuple[str, str, int, float, float]]) -> Model:
+    """From ``(list, entry, total, score, score)``."""
+    of = lambda kind: [e for e in entries if e[0] == kind]
+    # words of a name confirm what a literal context only suggests
+    literal = [p for _, p, n, _, _ in of("pattern") if n >= 20 and re.search(r"[^\W\d_]{2}", p) and "<n>" not in p]
+    return Model(
+        {p: (a, b) for _, p, _, a, b in of("context")},
+        {p: (a, b) for _, p, _, a, b in of("shape")},
+        frozenset(p for _, p, _, a, _ in of("pattern") if a >= SCORE),
+        frozenset(p for _, p, *_ in of("first")),
+        frozenset(p for _, p, *_ in of("last")),
+        frozenset(p[:-1] for p in literal if p.endswith("|")),
+        frozenset(p[1:] for p in literal if p.startswith("|")),
+    )
+
+
+def _tokens(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "9" if m[0].isdigit() else m[0].lower()) for m in _TOKEN.finditer(text)]
+
+
+def _looked_up(text: str, french: bool) -> set[tuple[str, str]]:
+    """``(list, entry)`` of all that ``find`` may ask of a model for this text."""
+    out = set()
+    for c in numbers(text):
+        out |= {("context", p) for p in c.patterns} | {("shape", c.instance)}
+    for r in runs(text, french):
+        for each in (r, _inner(r)):
+            if each is not None:
+                out |= {("pattern", p) for p in _patterns(text, each)}
+    for m in _NAME_WORD.finditer(text):
+        low = _last(m[0])
+        out |= {("first", m[0].lower()), ("last", low)} | {("last", p) for p in low.split("-")}
+    tokens = [t for _, _, t in _tokens(text)]
+    for p in {*tokens, *map(" ".join, zip(tokens, tokens[1:]))}:
+        out |= {("pattern", p + "|"), ("pattern", "|" + p)}
+    return out
+
+
+def learn(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, DataFrame | None]:
+    """The model of a corpus with the ``LISTED`` most frequent entries of each list, and the rest or None.
+
+    The rest has ``(list, entry, total, a, b)``.
+    """
     src = df.select(key, text, lang).where(F.length(text) > 0)
     schema = "grp string, pattern string, instance string, n bigint, phone bigint, id bigint, name bigint"
     raw = src.mapInArrow(_edges, schema)
     edges = materialize(raw.groupBy("grp", "pattern", "instance").agg(*[F.sum(c).alias(c) for c in ("n", *KINDS)]), "edges")
     patterns, instances = score_graph(edges.where("grp <> 'full'"))
 
-    def top(rows: DataFrame, *cols: str) -> list:
-        return rows.orderBy(F.desc("total"), cols[0]).limit(LISTED).select(*cols).collect()
-
     last = instances.where((F.col("grp") == "name") & (F.col("i_name") >= 0.5) & (F.col("total") >= 3 * 2))
     full = edges.where("grp = 'full'")  # initials need no list.select("pattern", "instance", "n", "name")
     first = (
@@ -308,20 +364,27 @@ def learn(df: DataFrame, key: str, text: str, lang: str) -> Model:
         # a word that mostly opens sentences is no given name
         .where((F.col("share") >= 0.5) & (F.col("inside") >= 0.3) & (F.col("total") >= 2) & (F.length("pattern") > 2))
     )
-    good = top(patterns.where((F.col("grp") == "name") & (F.col("p_name") >= TRIGGER) & (F.col("total") >= SUPPORT)), "pattern", "total", "p_name")
+    good = patterns.where((F.col("grp") == "name") & (F.col("p_name") >= TRIGGER) & (F.col("total") >= SUPPORT))
     numbers_ = patterns.where((F.col("grp") == "num") & (F.col("total") >= SUPPORT))
-    accepted = frozenset(r[0] for r in good if r[2] >= SCORE)
-    # words of a name confirm what a literal context only suggests
-    literal = [p for p, n, _ in good if n >= 20 and re.search(r"[^\W\d_]{2}", p) and "<n>" not in p]
-    return Model(
-        {r[0]: (r[1], r[2]) for r in top(numbers_, "pattern", "p_phone", "p_id")},
-        {r[0]: (r[1], r[2]) for r in top(instances.where("grp = 'num'"), "instance", "i_phone", "i_id")},
-        accepted,
-        frozenset(r[0] for r in top(first, "pattern")),
-        frozenset(r[0] for r in top(last, "instance")),
-        tuple(p[:-1] for p in literal if p.endswith("|"))[:64],
-        tuple(p[1:] for p in literal if p.startswith("|"))[:64],
-    )
+    zero = F.lit(0.0)
+    lists = {
+        "context": numbers_.select("pattern", "total", "p_phone", "p_id"),
+        "shape": instances.where("grp = 'num'").select("instance", "total", "i_phone", "i_id"),
+        "pattern": good.select("pattern", "total", "p_name", zero),
+        "first": first.select("pattern", "total", zero, zero),
+        "last": last.select("instance", "total", zero, zero),
+    }
+    entries, rest = [], None
+    for kind, rows in lists.items():
+        rows = rows.toDF("entry", "total", "a", "b")
+        head = rows.orderBy(F.desc("total"), "entry").limit(LISTED + 1).collect()
+        if len(head) > LISTED:
+            end = head[LISTED - 1]
+            more = rows.where((F.col("total") < end.total) | (F.col("total") == end.total) & (F.col("entry") > end.entry))
+            more = more.select(F.lit(kind).alias("list"), "entry", "total", "a", "b")
+            rest = more if rest is None else rest.unionByName(more)
+        entries += [(kind, *r) for r in head[:LISTED]]
+    return _model(entries), rest
 
 
 _AT = re.compile(r"@|[\[({<]\s?(?:at|arroba)\s?[\])}>]", re.I)
@@ -423,19 +486,6 @@ def _is_last(model: Model, word: str) -> bool:
     return low in model.last or "-" in low and any(p in model.last for p in low.split("-") if len(p) > 2)
 
 
-def _literals(phrases: tuple[str, ...]) -> list[re.Pattern]:
-    """Patterns of literal contexts over lower-case text."""
-    out = []
-    for p in phrases:
-        words = p.split(" ")
-        glue = "".join((r"\s+" if i and w.isalpha() and words[i - 1].isalpha() else r"\s*" if i else "") + (r"\d+" if w == "9" else re.escape(w)) for i, w in enumerate(words))
-        out.append(re.compile(glue))
-    return out
-
-
-_compiled: dict[tuple[str, ...], list[re.Pattern]] = {}
-
-
 def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` of all personal data of a text, in order."""
     out: list[tuple[str, int, int]] = []
@@ -473,17 +523,16 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
             if text[end - 2 : end] in ("'s", "’s"):
                 end -= 2
             add("name", r.start, end)
-    low = text.lower()
-    if len(low) == len(text) and not model.first.isdisjoint(text.split()):
-        for name, kind in ((model.before, 1), (model.after, 0)):
-            if name not in _compiled:
-                _compiled[name] = _literals(name)
-            for literal in _compiled[name]:
-                for m in literal.finditer(low):
-                    if kind:
-                        _add_lower(text, m.end(), model, add)
-                    elif (b := _LOWER_BEFORE.search(text, max(0, m.start() - 60), m.start())) and (w := _lower_tail(b[1], model)):
-                        add("name", b.start(1) + w[0], b.start(1) + w[1])
+    if any(w in model.first for w in text.split()):
+        tokens = _tokens(text)
+        folded = [x for _, _, x in tokens]
+        pairs = [*map(" ".join, zip(folded, folded[1:]))]
+        for i, (_, e, word) in enumerate(tokens):
+            if word in model.before or i and pairs[i - 1] in model.before:
+                _add_lower(text, e, model, add)
+        for i, (s, _, word) in enumerate(tokens):
+            if (word in model.after or i < len(pairs) and pairs[i] in model.after) and (b := _LOWER_BEFORE.search(text, max(0, s - 60), s)) and (w := _lower_tail(b[1], model)):
+                add("name", b.start(1) + w[0], b.start(1) + w[1])
         for _, _, e in [x for x in out if x[0] == "name"]:
             if m := _NEXT_NAME.match(text, e):
                 _add_lower(text, m.end(), model, add)
@@ -523,17 +572,42 @@ def _lower_tail(text: str, model: Model) -> tuple[int, int] | None:
 
 def _finder(model, do):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for batch in batches:
-            rows = [(k, t, find(t, la, m) if t else []) for k, t, la in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            rows = []
+            more = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for k, t, la, x in zip(*(batch.column(i).to_pylist() for i in range(3)), more):
+                m = model.value
+                if x:
+                    m = Model(*map(_Both, m, _model([tuple(e.values()) for e in x])))
+                rows.append((k, t, find(t, la, m) if t else []))
             yield do(batch, rows)
 
     return run
 
 
+def _prepared(df: DataFrame, key: str, text: str, lang: str):
+    """The broadcast model; the texts, with what they need of the lists beyond it in a fourth column, if there are such."""
+    model, rest = learn(df, key, text, lang)
+    src = df.select(key, text, lang)
+    if rest is not None:
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(i, *x) for i, (t, la) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())) if t for x in _looked_up(t, (la or "").lower().startswith("fr"))]
+                owner = pa.array([f[0] for f in found], pa.int64())
+                cols = [batch.column(0).take(owner), *(pa.array([f[i] for f in found], pa.string()) for i in (1, 2))]
+                yield pa.RecordBatch.from_arrays(cols, ["owner", "list", "entry"])
+
+        kind = df.select(key).schema[0].dataType.simpleString()
+        needed = src.mapInArrow(asked, f"owner {kind}, list string, entry string").join(rest, ["list", "entry"])
+        needed = needed.groupBy("owner").agg(F.collect_set(F.struct("list", "entry", "total", "a", "b")).alias("more"))
+        src = src.join(needed, src[key].eqNullSafe(needed["owner"]), "left").select(src[key], src[text], src[lang], "more")
+    return df.sparkSession.sparkContext.broadcast(model), src
+
+
 def find_private(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """``(key, kind, char_start, char_end)`` of all personal data in all texts."""
-    model = df.sparkSession.sparkContext.broadcast(learn(df, key, text, lang))
+    model, src = _prepared(df, key, text, lang)
 
     def do(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
         owner = pa.array([i for i, r in enumerate(rows) for _ in r[2]], pa.int64())
@@ -542,13 +616,13 @@ def find_private(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).take(owner), *cols], ["key", "kind", "char_start", "char_end"])
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    out = df.select(key, text, lang).mapInArrow(_finder(model, do), f"key {kind}, kind string, char_start bigint, char_end bigint")
+    out = src.mapInArrow(_finder(model, do), f"key {kind}, kind string, char_start bigint, char_end bigint")
     return out.withColumnRenamed("key", key)
 
 
 def redact(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """``(key, text, n_found)``: every find replaced by ``[EMAIL]``, ``[PHONE]``, ``[ID]``, ``[ADDRESS]`` or ``[NAME]``."""
-    model = df.sparkSession.sparkContext.broadcast(learn(df, key, text, lang))
+    model, src = _prepared(df, key, text, lang)
 
     def replaced(t: str | None, found: list) -> str | None:
         if not found:
@@ -564,5 +638,5 @@ def redact(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array([len(r[2]) for r in rows], pa.int64())], ["key", "text", "n_found"])
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    out = df.select(key, text, lang).mapInArrow(_finder(model, do), f"key {kind}, text string, n_found bigint")
+    out = src.mapInArrow(_finder(model, do), f"key {kind}, text string, n_found bigint")
     return out.select(F.col("key").alias(key), F.col("text").alias(text), "n_found")

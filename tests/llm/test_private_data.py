@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from quillmesh.llm import private_data
 from quillmesh.llm.private_data import addresses, emails, find_private, redact
 
 FIRST = "Calder Ione Wren Petra Mabel Dorian Odalys Corwin".split()
@@ -51,6 +52,23 @@ def test_planted_data_is_found(spark):
     assert texts[i].text == redone + text[at:]
 
 
+def test_lists_beyond_the_broadcast_lose_nothing(spark, monkeypatch):
+    rows = [(i, t, "en") for i, t, _ in corpus(150)] + [(None, "The record lists Wren Lornley as the clerk.", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole = {tuple(r) for r in find_private(df, "doc_id", "text", "lang").collect()}
+    monkeypatch.setattr(private_data, "LISTED", 2)
+    assert {tuple(r) for r in find_private(df, "doc_id", "text", "lang").collect()} == whole
+
+
+def test_lower_case_names_in_many_contexts(spark):
+    word = lambda i: "q" + "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    rows = [(i * 30 + k, f"Then {word(i)} {word(i)} Wren Thornley went on. Mr. Thornley left.", "en") for i in range(80) for k in range(30)]
+    rows += [(10_000 + i, f"then {word(i)} {word(i)} wren thornley went on", "en") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = find_private(df, "doc_id", "text", "lang").where("doc_id >= 10000 AND kind = 'name'")
+    assert found.select("doc_id").distinct().count() == 80
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert find_private(df, "doc_id", "text", "lang").count() == 0
