@@ -78,6 +78,7 @@ _ANY = r"(?:[^\W\d_](?:\.|[^\W\d_]*(?:['’-][^\W\d_]+)*))"
 _LOWER = re.compile(rf"{_GAP}?({_ANY}(?:,?{_GAP}{_ANY}){{1,3}})")
 _LOWER_BEFORE = re.compile(rf"(?<![\w'’-])({_ANY}(?:,?{_GAP}{_ANY}){{1,3}}){_GAP}?$")
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LOWER_INITIAL = re.compile(rf"(?:({_NAME_WORD.pattern}),{_GAP})?\b(?=[^\W\d_A-Z]\.)[^\W\d_]\.(?:{_GAP}[^\W\d_]\.)*(?:{_GAP}({_NAME_WORD.pattern}))?")
 _NEXT_NAME = re.compile(rf"(?:,|;|{_GAP}(?:and|et|und|y)){_GAP}")
 
 
@@ -167,14 +168,17 @@ def _inner(r: Run) -> Run | None:
     return r._replace(words=words, start=words[0][0], opens=False, floor=0) if words else None
 
 
-def runs(text: str, french: bool) -> Iterator[Run]:
+def runs(text: str, french: bool, given: frozenset[str] = frozenset()) -> Iterator[Run]:
+    """``given``: given names, which also begin a name where the field of a body would stand."""
     previous = 0
     for m in _RUN.finditer(text):
         if not _GAPS.search(m[0]) and (text[m.end() : m.end() + 1] != "," or m[0].lower() in NOT_NAMES):
             continue  # one word alone is no name, unless it is the first half of "Last, First"
         lead = text[max(0, m.start() - 24) : m.start()]
         if lead.endswith(_OF) and len(before := lead.split()) > 1 and before[-2].lower() in BODY_WORDS:
-            continue  # the field of a body, as in "Bureau of ..."
+            head = _SPACED.match(m[0])[0]
+            if not (head.rstrip(".").lower() in ADDRESS_FORMS or head == "M." and french or _INITIAL.fullmatch(head) or head.lower() in given):
+                continue  # the field of a body, as in "Bureau of ..."
         words = [(m.start() + w.start(), w[0]) for w in _SPACED.finditer(m[0])]
         seed, opened, part = False, True, []
         parts: list[tuple[list[tuple[int, str]], bool, bool]] = []
@@ -306,6 +310,14 @@ class _Both:
         return self[k] if k in self else default
 
 
+class _Every:
+    def __contains__(self, k: str) -> bool:
+        return True
+
+
+_EVERY = _Every()
+
+
 def _model(entries: list[tuple[str, str, int, float, float]]) -> Model:
     """From ``(list, entry, total, score, score)``."""
     of = lambda kind: [e for e in entries if e[0] == kind]
@@ -331,7 +343,7 @@ def _looked_up(text: str, french: bool) -> set[tuple[str, str]]:
     out = set()
     for c in numbers(text):
         out |= {("context", p) for p in c.patterns} | {("shape", c.instance)}
-    for r in runs(text, french):
+    for r in runs(text, french, _EVERY):
         for each in (r, _inner(r)):
             if each is not None:
                 out |= {("pattern", p) for p in _patterns(text, each)}
@@ -356,13 +368,13 @@ def learn(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, DataFra
     patterns, instances = score_graph(edges.where("grp <> 'full'"))
 
     last = instances.where((F.col("grp") == "name") & (F.col("i_name") >= 0.5) & (F.col("total") >= 3 * 2))
-    full = edges.where("grp = 'full'")  # initials need no list.select("pattern", "instance", "n", "name")
+    full = edges.where("grp = 'full'")
     first = (
         full.join(last.select("instance", F.lit(1).alias("known")), "instance", "left")
         .groupBy("pattern")
         .agg(F.sum("n").alias("total"), (F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), (F.sum("name") / F.sum("n")).alias("inside"))
-        # a word that mostly opens sentences is no given name
-        .where((F.col("share") >= 0.5) & (F.col("inside") >= 0.3) & (F.col("total") >= 2) & (F.length("pattern") > 2))
+        # a word that mostly opens sentences is no given name; initials need no list
+        .where((F.col("share") >= 0.5) & (F.col("inside") >= 0.3) & (F.col("total") >= 2) & ~F.col("pattern").rlike(r"^.\.?$"))
     )
     good = patterns.where((F.col("grp") == "name") & (F.col("p_name") >= TRIGGER) & (F.col("total") >= SUPPORT))
     numbers_ = patterns.where((F.col("grp") == "num") & (F.col("total") >= SUPPORT))
@@ -501,7 +513,7 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
     for c in numbers(text):
         if kind := _number_kind(model, c):
             add(kind, c.start, c.end)
-    for r in runs(text, (lang or "").lower().startswith("fr")):
+    for r in runs(text, (lang or "").lower().startswith("fr"), model.first):
         words = r.words
         if r.opens and len(words) > 1 and not _is_first(model, words[0][1]):
             # the word that opens the sentence is context
@@ -523,7 +535,7 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
             if text[end - 2 : end] in ("'s", "’s"):
                 end -= 2
             add("name", r.start, end)
-    if any(w in model.first for w in text.split()):
+    if _may_hold_lower(text, model):
         tokens = _tokens(text)
         folded = [x for _, _, x in tokens]
         pairs = [*map(" ".join, zip(folded, folded[1:]))]
@@ -539,6 +551,14 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
     return sorted(out, key=lambda x: (x[1], x[2]))
 
 
+def _may_hold_lower(text: str, model: Model) -> bool:
+    """Whether a given name in lower case, or an initial in lower case beside a last name, stands in the text."""
+    words = set(_NAME_WORD.findall(text))
+    if any(w in model.first for w in words) if isinstance(model.first, _Both) else not model.first.isdisjoint(words):
+        return True
+    return any(_is_last(model, w) for m in _LOWER_INITIAL.finditer(text) for w in (m[1], m[2]) if w)
+
+
 def _add_lower(text: str, at: int, model: Model, add) -> None:
     m = _LOWER.match(text, at)
     if m and m[1][0].islower() and (length := _lower_name(m[1], model)):

@@ -69,6 +69,29 @@ def test_lower_case_names_in_many_contexts(spark):
     assert found.select("doc_id").distinct().count() == 80
 
 
+NAMED = private_data.Model({}, {}, frozenset(), frozenset({"lena", "jo"}), frozenset({"smith"}), frozenset({"signed by"}), frozenset({"signed it"}))
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("signed by j. smith today", "j. smith"), ("signed by smith, j. today", "smith, j."), ("signed by smith, lena; and no one", "smith, lena"),
+        ("İ was there, signed by lena smith today", "lena smith"), ("here (lena smith signed it)", "lena smith"), ("and lena smith signed it", "lena smith"),
+        ("at the Office of Lena Smith in town", "Lena Smith"), ("at the Office of Mr. Smith in town", "Smith"), ("the Bureau of Grid Smith in town", None),
+        ("Dale Moss sat. He ran the Office of Lena Smith in town", "Lena Smith"),
+    ],
+)
+def test_names_of_given_lists(text, name):
+    found = [text[s:e] for _, s, e in private_data.find(text, "en", NAMED)]
+    assert found == ([name] if name else [])
+
+
+def test_given_names_of_two_letters(spark):
+    rows = [(i, f"Mr. {n} spoke. The record lists Jo {n} as the clerk, and J. {n}.", "en") for i, n in enumerate(LAST * 10)]
+    model, rest = private_data.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang")
+    assert "jo" in model.first and "j." not in model.first and rest is None
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert find_private(df, "doc_id", "text", "lang").count() == 0
