@@ -9,6 +9,7 @@ from quillmesh.functions import ids, text, truth
 from quillmesh.operators import entities as E
 from quillmesh.operators import taxonomy as T
 from quillmesh.plans.data_quality import _NUMBER
+from quillmesh.session import materialize
 from quillmesh.sources.tables import table
 from quillmesh.sources.writers import merge_by_key
 
@@ -54,9 +55,8 @@ def tag_signature(spark, sf):
 
 
 def cooccurrence_matrix(spark, sf):
-    pairs = T.cooccurrence(_tags(spark, sf), "strategies", "harms")
-    top = table(spark, sf, "taxonomy").select(F.lower(F.trim("name")).alias("t")).where(F.col("t").startswith("harms")).orderBy("t").limit(12)
-    return T.matrix(pairs.where(F.col("dst").startswith("harms")), [r[0] for r in top.collect()])
+    pairs = materialize(T.cooccurrence(_tags(spark, sf), "strategies", "harms"), "cooccurrence")
+    return T.matrix(pairs, [r[0] for r in pairs.select("dst").distinct().collect()])
 
 
 def upsert_merge(spark, sf):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import ids, text, truth
 from quillmesh.operators import entities as E
 from quillmesh.operators import taxonomy as T
+from quillmesh.plans import records
 from quillmesh.sources import readers, writers
 
 
@@ -65,6 +66,13 @@ def test_spans(spark):
     assert [(k.start, k.end) for k in kept] == [(1, 5), (6, 9)]
 
 
+def test_cooccurrence_matrix_has_all_harms_that_occur(spark, tmp_path):
+    rows = [(i, str(i), ["Strategies: audit", f"Harms: {i:02}"]) for i in range(20)] + [(30, "30", ["Harms: alone"]), (31, "31", ["strategies: none"])]
+    spark.createDataFrame(rows, "ord bigint, doc_id string, taxonomy_tags array<string>").write.parquet(str(tmp_path / "segments_raw.parquet"))
+    found = records.cooccurrence_matrix(spark, str(tmp_path)).collect()
+    assert [r.asDict() for r in found] == [{"src": "strategies: audit"} | {f"harms: {i:02}": 1 for i in range(20)}]
+
+
 def test_cosine_blocks(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 0.0]), (4, None)], "id bigint, e array<double>")
     got = {(r["query"], r["id"]): r["cosine"] for r in T.cosine_to(v, "id", "e", v.where("id < 3"), block=1).collect()}
