@@ -5,8 +5,8 @@
    ``ceil(t * n)`` of the ``n`` values of either, hence at least ``l`` values of the first ``n - ceil(t * n) + l``.
 3. Every class emits the combinations of ``l`` values of that prefix; classes meet on a common combination. A larger
    ``l`` means more rows to emit and far fewer candidates; the cheapest ``l`` is chosen from the join sizes of a hash
-   share of the combinations. A set whose combinations would be too many takes a smaller ``l`` (1 always works), and
-   two sets meet at the ``l`` of the larger.
+   share of the combinations. A set whose combinations would be too many, or that may share fewer values with another,
+   takes a smaller ``l`` (1 always works), and two sets meet at the ``l`` of the larger.
 4. Candidates are verified on the whole sets, and class pairs are written out as row pairs.
 
 Defined results: case, surrounding blanks, repeats, NULL and blank values do not count; a NULL or empty array, or one
@@ -55,6 +55,21 @@ class _Levels:
             while math.comb(self.prefix(n + 1, level), level) <= COMBINATIONS:
                 n += 1
             self.up_to[level] = n
+        # the sizes of sets that meet at a level; beyond the last, all meet at 1
+        self.sizes: dict[int, list[list[int | None]]] = {level: [] for level in self.up_to}
+        last = 0
+        for n in range(1, max([0, *(u for u in self.up_to.values() if u)]) + 2):
+            level = self._of(n)
+            if level == last:
+                self.sizes[level][-1][1] = n
+            else:
+                self.sizes[level].append([n, n])
+            last = level
+        self.sizes[1][-1][1] = None
+
+    def _of(self, n: int) -> int:
+        level = max(level for level, most in self.up_to.items() if most is None or n <= most)
+        return max(1, min(level, self.shared(n)))
 
     def shared(self, n: int) -> int:
         return math.ceil(self.t * n - 1e-9)
@@ -66,7 +81,7 @@ class _Levels:
         out = F.lit(1)
         for level in sorted(self.up_to)[1:]:
             out = F.when(n <= self.up_to[level], level).otherwise(out)
-        return out
+        return F.greatest(F.lit(1), F.least(out, F.ceil(n * self.t - 1e-9).cast("int")))
 
     def emitted(self, tokens: Column) -> Column:
         """``(level, key)`` of every combination a set of these tokens must show."""
@@ -76,7 +91,10 @@ class _Levels:
         parts = []
         for level in self.up_to:
             prefix = F.slice(tokens, 1, F.least(n, n - shared + level))
-            wanted = (self.at(n) >= level) & (self.at(partner) <= level)
+            # the larger of two sets has from n to partner values
+            wanted = F.lit(False)
+            for least, most in self.sizes[level]:
+                wanted = wanted | (partner >= least) & (F.lit(True) if most is None else n <= most)
             keys = F.when(wanted, _combinations(prefix, level)).otherwise(F.array().cast("array<bigint>"))
             parts.append(F.arrays_zip(F.array_repeat(F.lit(level), F.size(keys)).alias("level"), keys.alias("key")))
         return F.explode(F.concat(*parts))

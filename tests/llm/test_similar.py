@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillmesh.llm import setjoin
 from quillmesh.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs, prefix_length
 from quillmesh.llm.setjoin import similar_sets
 
@@ -27,6 +28,15 @@ def test_sets(spark, t, least, vocabulary):
     assert {tuple(p) for p in similar_sets(df, "ord", "tags", t, least).collect()} == brute(rows, t, least)
 
 
+@pytest.mark.parametrize("top", [1, 2, 3, 4])
+@pytest.mark.parametrize("t", [0.5, 0.7])
+def test_small_sets_at_every_level(spark, monkeypatch, top, t):
+    monkeypatch.setattr(setjoin, "_cost", lambda classes, levels, share: abs(len(levels.up_to) - top))
+    rows = [(i, list(v)) for i, v in enumerate(v for n in range(1, 6) for v in itertools.combinations("abcdef", n))] + [(900 + n, [f"w{j}" for j in range(n)]) for n in range(20, 90, 5)]
+    df = spark.createDataFrame(rows, "ord bigint, tags array<string>")
+    assert {tuple(p) for p in similar_sets(df, "ord", "tags", t).collect()} == brute(rows, t, 1)
+
+
 def test_sets_between_tables(spark):
     a = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x"])], "k bigint, v array<string>")
     b = spark.createDataFrame([(7, ["A", "b", "c"]), (8, ["a", "b", "d"]), (9, None)], "k bigint, v array<string>")
