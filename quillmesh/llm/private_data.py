@@ -3,15 +3,16 @@
 Bootstrapped contextual extraction:
 
 1. A first pass over all texts notes every stretch that could be personal data (numbers of seven and more digits; runs
-   of capitalised words) as an edge from its context (words before and after it) to its instance (the shape of a
-   number, the last word of a name), with the count of seeds: numbers beside a plain cue word or with a country
-   prefix, names after a form of address.
+   of capitalised words; words around an @ or a word in brackets; what leads up to a postal code) as an edge from its
+   context (words before and after it) to its instance (the shape of a number or an address, the last word of a name,
+   what stands for the @), with the count of seeds: numbers with a cue word just before or a country prefix, names
+   after a form of address, mail with a plain @, addresses with a word for a street.
 2. Spark scores the pattern-instance graph in rounds: an instance by its seeds and by its patterns, a pattern by its
    instances. Patterns, shapes and name words that reach the threshold become the model. Of each list a fixed number,
    the most frequent, is broadcast; the rest, if there is any, is joined to the texts that hold one of its entries.
 3. A second pass applies the model: known patterns discover instances never seen with a seed, known name words are
-   found in contexts of their own, and lower-case names are found between known patterns. E-mail addresses and postal
-   addresses are found by their form.
+   found in contexts of their own, and lower-case names are found between known patterns. Mail written with another
+   sign for the @ and addresses of another form than the seeds' are found by learned signs, forms and contexts.
 
 Defined results: a NULL or empty text has no finds and is returned as it is. Finds do not overlap; where two meet the
 order is email, address, phone and id, name. Offsets count code points.
@@ -39,12 +40,9 @@ LISTED = 50_000
 # fixed values: forms of address, particles inside names, cue words of seeds, words that never belong to a name
 ADDRESS_FORMS = set("mr mrs ms miss dr prof mme mlle mm herr herrn frau sr sra srta dra señor señora monsieur madame".split())
 PARTICLES = set("von van zu de del la las los du des der den le da di y".split())
-PHONE_CUES = re.compile(r"(?:\b(?:tele)?phone|\btel|\btél|\btéléphone|\btelefon|\bteléfono|\bfax|\bmobile|\bcall|\btelefonische auskunft|\bcomposer le|\bllamar al)\W{0,3}$", re.I)
-ID_CUES = re.compile(
-    r"(?:social security (?:number|no)|\bssn|\btax (?:no|number|id)|\bpassport(?: no)?|; id|sécurité sociale du \w+"
-    r"|\bsteuernummer der \w+ lautet|\bdocumento de identidad de la \w+ es|\bidentifiant|\bkennung)\W{0,3}$",
-    re.I,
-)
+PHONE_CUES = set("phone telephone tel fax mobile téléphone telefon teléfono".split())
+ID_CUES = set("ssn security passport tax id sociale identidad identifiant kennung steuernummer".split())
+AT_CUES = set("at arroba".split())
 BODY_WORDS = set(
     """board agency authority directorate department commission federation laboratory institute center centre council bureau
     office program programme act committee ministry society association university college school bank fund street road
@@ -59,9 +57,11 @@ NOT_NAMES = set(
     el los las una unos unas y o si por para en con sin sobre este esta estos cada todo toda al del lo su sus
     secretary director administrator comptroller secretariat state states docket form doc no nr bl""".split()
 )
-KINDS = ("phone", "id", "name")
+KINDS = ("phone", "id", "name", "email", "address")
+CUES = 5
 
-_NUMBER = re.compile(r"\d(?:[\d() ./\-\xa0]|\r?\n){4,}\d")
+_NUMBER = re.compile(r"\d(?:[() ./\-\xa0\r\n]*\d){6,}")
+_LEAD = re.compile(r"(?:\(?\+|\(|(?<![A-Za-z])[A-Z]{1,2})$")
 _NUMBER_FORM = re.compile(
     r"(?:\(?\+\d{1,3}\)?[ .\-\xa0]?|(?<![\w])[A-Z]{1,2}(?=\d{6}))?(?:\(\d{1,5}\)[ .\-\xa0]?)?\d+(?:(?:[ .\-/\xa0]|\r?\n)\d+)*(?:-?[A-Z](?![\w]))?"
 )
@@ -69,16 +69,22 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*"
 _ONE = rf"(?:(?:[A-ZÀ-ÖØ-Þ]|Mrs?|Ms|Dra?|Prof|Sra?|Srta|Mme|Mlle|MRS?|MS|DRA?|SRA?|SRTA)\.(?=\s)|{_CAP})"
 _GAP = r"(?:[ \xa0]|\r?\n[ \t]*)"
-_RUN = re.compile(rf"(?<![\w@'’.-]){_ONE}(?:{_GAP}(?:(?:von|van|zu|de|del|la|las|los|du|der|le){_GAP}){{0,2}}{_ONE})*(?![\w@])")
+_NEXT = rf"{_GAP}(?:(?:von|van|zu|de|del|la|las|los|du|der|le){_GAP}){{0,2}}{_ONE}"
+# two words and more, or one before a comma; that it begins with a plain set of letters lets the scan skip to them
+_RUN = re.compile(
+    r"[A-ZÀ-ÖØ-Þ](?<![\w@'’.-].)"
+    r"(?:(?:(?<=M)(?:rs?|s|me|lle|RS?|S)|(?<=D)(?:ra?|RA?)|(?<=P)rof|(?<=S)(?:ra?|rta?|RA?|RTA)|)\.(?=\s)|[^\W\d_]*(?:['’-][^\W\d_]+)*)"
+    rf"(?:(?:{_NEXT})+(?![\w@])|(?![\w@])(?=,))"
+)
 _COMMA_FIRST = re.compile(rf",{_GAP}({_CAP}(?:{_GAP}[A-ZÀ-ÖØ-Þ]\.)?)(?=\s*[,;.:)(]|{_GAP}[a-zà-ÿ(])")
-_OF = ("of ", "for ", "on ", "of\n", "for\n", "on\n")
 _GAPS = re.compile(r"\s")
 _SPACED = re.compile(r"\S+")
 _ANY = r"(?:[^\W\d_](?:\.|[^\W\d_]*(?:['’-][^\W\d_]+)*))"
 _LOWER = re.compile(rf"{_GAP}?({_ANY}(?:,?{_GAP}{_ANY}){{1,3}})")
 _LOWER_BEFORE = re.compile(rf"(?<![\w'’-])({_ANY}(?:,?{_GAP}{_ANY}){{1,3}}){_GAP}?$")
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_LOWER_INITIAL = re.compile(rf"(?:({_NAME_WORD.pattern}),{_GAP})?\b(?=[^\W\d_A-Z]\.)[^\W\d_]\.(?:{_GAP}[^\W\d_]\.)*(?:{_GAP}({_NAME_WORD.pattern}))?")
+_LOWER_INITIAL = re.compile(rf"\.(?<=[^\W\d_A-Z].)(?<!\w..)(?:{_GAP}[^\W\d_]\.)*(?:{_GAP}({_NAME_WORD.pattern}))?")
+_BEFORE_INITIAL = re.compile(rf"({_NAME_WORD.pattern}),{_GAP}$")
 _NEXT_NAME = re.compile(rf"(?:,|;|{_GAP}(?:and|et|und|y)){_GAP}")
 
 
@@ -100,10 +106,30 @@ class Candidate(NamedTuple):
 
 def _sides(text: str, start: int, end: int, floor: int = 0) -> tuple[list[str], list[str]]:
     """The last two tokens before and the first two after; ``floor`` is the end of a name just before, written <n>."""
-    left = _fold(_TOKEN.findall(text, max(floor, start - 32), start)[-3:])
+    left = _around(text, max(floor, start - 32), start, slice(-3, None))
     if floor and len(left) < 2 and floor >= start - 32:
         left.insert(0, "<n>")
-    return left, _fold(_TOKEN.findall(text, end, end + 24)[:2])
+    return left, _around(text, end, end + 24, slice(2))
+
+
+def _around(text: str, start: int, end: int, part: slice) -> list[str]:
+    """The folded tokens of a window, some of the first or the last."""
+    found = text[start:end].split()[part]
+    if "".join(found).isalpha():  # blanks alone part these tokens
+        return [w.lower() for w in found]
+    return _fold(_TOKEN.findall(text, start, end)[part])
+
+
+def _cue(tokens: list[str]) -> str:
+    """The kind of the nearest cue word among the last ``CUES`` tokens of the clause."""
+    for t in reversed(tokens):
+        if t in ID_CUES:
+            return "id"
+        if t in PHONE_CUES:
+            return "phone"
+        if t in ";!?9":
+            break
+    return ""
 
 
 def numbers(text: str) -> Iterator[Candidate]:
@@ -113,7 +139,7 @@ def numbers(text: str) -> Iterator[Candidate]:
         start = m.start()
         if start < at:
             continue
-        lead = re.search(r"(?:\(?\+|\(|(?<![A-Za-z])[A-Z]{1,2})$", text[max(0, start - 3) : start])
+        lead = _LEAD.search(text[max(0, start - 3) : start])
         begin = start - len(lead[0]) if lead else start
         while begin < m.end():
             form = _NUMBER_FORM.match(text, begin)
@@ -121,17 +147,16 @@ def numbers(text: str) -> Iterator[Candidate]:
                 begin += 1
                 continue
             s, e = form.span()
-            n = sum(c.isdigit() for c in form[0])
-            if 7 <= n <= 16 and not (s and (text[s - 1].isalnum() or text[s - 1] in "$€")) and not text[e : e + 1].isalnum():
-                value = form[0]
+            value = form[0]
+            if e - s >= 7 and sum(map(str.isdigit, value)) >= 7 and not (s and (text[s - 1].isalnum() or text[s - 1] in "$€")) and not text[e : e + 1].isalnum():
                 if value[0] == "(" and value.count("(") > value.count(")"):
                     s, value = s + 1, value[1:]
-                left = _sides(text, s, e)[0]
-                before = text[max(0, s - 60) : s]
-                seed = "id" if ID_CUES.search(before) else "phone" if value.lstrip("(").startswith("+") or PHONE_CUES.search(before) else ""
+                left = _around(text, max(0, s - 32), s, slice(-3, None))
+                seed = "phone" if value.lstrip("(").startswith("+") else _cue(_around(text, max(0, s - 60), s, slice(-CUES, None)))
                 yield Candidate(s, e, shape(value), list(dict.fromkeys(" ".join(left[-k:]) for k in (3, 2, 1))), seed)
             begin = at = max(e, begin + 1)
-            begin = next((i for i in range(begin, m.end()) if text[i].isdigit() or text[i] in "+("), m.end())
+            while begin < m.end() and not (text[begin].isdigit() or text[begin] in "+("):
+                begin += 1
 
 
 class Run(NamedTuple):
@@ -168,32 +193,35 @@ def _inner(r: Run) -> Run | None:
     return r._replace(words=words, start=words[0][0], opens=False, floor=0) if words else None
 
 
-def runs(text: str, french: bool, given: frozenset[str] = frozenset()) -> Iterator[Run]:
-    """``given``: given names, which also begin a name where the field of a body would stand."""
+def runs(text: str, french: bool) -> Iterator[Run]:
     previous = 0
     for m in _RUN.finditer(text):
-        if not _GAPS.search(m[0]) and (text[m.end() : m.end() + 1] != "," or m[0].lower() in NOT_NAMES):
-            continue  # one word alone is no name, unless it is the first half of "Last, First"
-        lead = text[max(0, m.start() - 24) : m.start()]
-        if lead.endswith(_OF) and len(before := lead.split()) > 1 and before[-2].lower() in BODY_WORDS:
-            head = _SPACED.match(m[0])[0]
-            if not (head.rstrip(".").lower() in ADDRESS_FORMS or head == "M." and french or _INITIAL.fullmatch(head) or head.lower() in given):
-                continue  # the field of a body, as in "Bureau of ..."
-        words = [(m.start() + w.start(), w[0]) for w in _SPACED.finditer(m[0])]
+        whole = m[0]
+        if not _GAPS.search(whole) and whole.lower() in NOT_NAMES:
+            continue  # the first half of "Last, First" is no function word
+        lows = [w.rstrip(".") for w in whole.lower().split()]
+        plain = "\n" not in whole and ADDRESS_FORMS.isdisjoint(lows) and not (french and "m" in lows)
+        if plain and not BODY_WORDS.isdisjoint(lows) and NOT_NAMES.isdisjoint(lows):
+            continue  # one part, which names a body
+        at = m.start()
+        words = [(at + w.start(), w[0]) for w in _SPACED.finditer(whole)]
         seed, opened, part = False, True, []
         parts: list[tuple[list[tuple[int, str]], bool, bool]] = []
-        breaks = _line_breaks(text, m) if "\n" in m[0] else ()
-        for w in words:
-            if part and breaks and any(part[-1][0] < b < w[0] for b in breaks):
-                parts.append((part, seed, opened))
-                seed, part = False, []
-            form = w[1].rstrip(".").lower() in ADDRESS_FORMS or (w[1] == "M." and french and not part)
-            if form or w[1][0].isupper() and _stops(w[1]):
-                if part:
+        if plain and NOT_NAMES.isdisjoint(lows):
+            part = words
+        else:
+            breaks = _line_breaks(text, m) if "\n" in whole else ()
+            for w in words:
+                if part and breaks and any(part[-1][0] < b < w[0] for b in breaks):
                     parts.append((part, seed, opened))
-                seed, opened, part = form, opened and not parts and not part and not form, []
-            else:
-                part.append(w)
+                    seed, part = False, []
+                form = w[1].rstrip(".").lower() in ADDRESS_FORMS or (w[1] == "M." and french and not part)
+                if form or w[1][0].isupper() and _stops(w[1]):
+                    if part:
+                        parts.append((part, seed, opened))
+                    seed, opened, part = form, opened and not parts and not part and not form, []
+                else:
+                    part.append(w)
         if part:
             parts.append((part, seed, opened))
         for part, seed, first in parts:
@@ -201,7 +229,7 @@ def runs(text: str, french: bool, given: frozenset[str] = frozenset()) -> Iterat
                 part = part[1:]
             while part and part[-1][1].lower() in PARTICLES:
                 part = part[:-1]
-            if not part or len(part) > 6 or not seed and any(w.lower() in BODY_WORDS for _, w in part):
+            if not part or not seed and any(w.lower() in BODY_WORDS for _, w in part):
                 continue
             start, end = part[0][0], part[-1][0] + len(part[-1][1])
             opens = False
@@ -218,8 +246,8 @@ def _last(word: str) -> str:
 
 
 def _name_patterns(left: list[str], right: list[str]) -> list[str]:
-    l2, l1, r2 = " ".join(left[-2:]), " ".join(left[-1:]), " ".join(right)
-    out = [f"{l2}|", f"|{r2}", f"{l1}|{r2}"]
+    l2, l1, r1, r2 = " ".join(left[-2:]), " ".join(left[-1:]), " ".join(right[:1]), " ".join(right)
+    out = [f"{l2}|", f"|{r2}", f"{l2}|{r1}", f"{l1}|{r2}"]
     return [p for p in dict.fromkeys(out) if p.strip("|")]
 
 
@@ -228,7 +256,7 @@ def _patterns(text: str, r: Run) -> list[str]:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, pattern, instance, n, phone, id, name) and, as group ``full``, first and last words of names."""
+    """(group, pattern, instance, n, seeds of each kind) and, as group ``full``, first and last words of names."""
     seen: Counter[tuple[str, str, str, str]] = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -244,6 +272,10 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in numbers(text):
                 for p in c.patterns:
                     seen["num", p, c.instance, c.seed] += 1
+            for group, found in (("at", mails(text)), ("place", places(text))):
+                for c in found:
+                    for p in c.patterns:
+                        seen[group, p, c.instance, c.seed] += 1
             for r in runs(text, (lang or "").lower().startswith("fr")):
                 if len(r.words) == 1 and (r.opens or len(r.words[0][1]) < 3):
                     continue
@@ -292,6 +324,10 @@ class Model(NamedTuple):
     last: frozenset[str]
     before: frozenset[str]
     after: frozenset[str]
+    signs: frozenset[str] = frozenset()  # what stands for the @
+    mailed: frozenset[str] = frozenset()  # contexts of mail
+    forms: frozenset[str] = frozenset()  # shapes of addresses
+    placed: frozenset[str] = frozenset()  # contexts of addresses
 
 
 class _Both:
@@ -310,14 +346,6 @@ class _Both:
         return self[k] if k in self else default
 
 
-class _Every:
-    def __contains__(self, k: str) -> bool:
-        return True
-
-
-_EVERY = _Every()
-
-
 def _model(entries: list[tuple[str, str, int, float, float]]) -> Model:
     """From ``(list, entry, total, score, score)``."""
     of = lambda kind: [e for e in entries if e[0] == kind]
@@ -331,6 +359,7 @@ def _model(entries: list[tuple[str, str, int, float, float]]) -> Model:
         frozenset(p for _, p, *_ in of("last")),
         frozenset(p[:-1] for p in literal if p.endswith("|")),
         frozenset(p[1:] for p in literal if p.startswith("|")),
+        *(frozenset(p for _, p, *_ in of(kind)) for kind in ("sign", "mailed", "form", "placed")),
     )
 
 
@@ -343,7 +372,11 @@ def _looked_up(text: str, french: bool) -> set[tuple[str, str]]:
     out = set()
     for c in numbers(text):
         out |= {("context", p) for p in c.patterns} | {("shape", c.instance)}
-    for r in runs(text, french, _EVERY):
+    for c in mails(text):
+        out |= {("mailed", p) for p in c.patterns} | {("sign", c.instance)}
+    for c in places(text):
+        out |= {("placed", p) for p in c.patterns} | {("form", c.instance)}
+    for r in runs(text, french):
         for each in (r, _inner(r)):
             if each is not None:
                 out |= {("pattern", p) for p in _patterns(text, each)}
@@ -362,12 +395,12 @@ def learn(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, DataFra
     The rest has ``(list, entry, total, a, b)``.
     """
     src = df.select(key, text, lang).where(F.length(text) > 0)
-    schema = "grp string, pattern string, instance string, n bigint, phone bigint, id bigint, name bigint"
+    schema = "grp string, pattern string, instance string, n bigint, " + ", ".join(f"{k} bigint" for k in KINDS)
     raw = src.mapInArrow(_edges, schema)
     edges = materialize(raw.groupBy("grp", "pattern", "instance").agg(*[F.sum(c).alias(c) for c in ("n", *KINDS)]), "edges")
     patterns, instances = score_graph(edges.where("grp <> 'full'"))
 
-    last = instances.where((F.col("grp") == "name") & (F.col("i_name") >= 0.5) & (F.col("total") >= 3 * 2))
+    last = instances.where((F.col("grp") == "name") & (F.col("i_name") >= 0.5) & (F.col("total") > 4))  # more than one mention
     full = edges.where("grp = 'full'")
     first = (
         full.join(last.select("instance", F.lit(1).alias("known")), "instance", "left")
@@ -385,6 +418,10 @@ def learn(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, DataFra
         "pattern": good.select("pattern", "total", "p_name", zero),
         "first": first.select("pattern", "total", zero, zero),
         "last": last.select("instance", "total", zero, zero),
+        "sign": instances.where((F.col("grp") == "at") & (F.col("i_email") >= SCORE)).select("instance", "total", zero, zero),
+        "mailed": patterns.where((F.col("grp") == "at") & (F.col("p_email") >= SCORE) & (F.col("total") >= SUPPORT)).select("pattern", "total", zero, zero),
+        "form": instances.where((F.col("grp") == "place") & (F.col("i_address") >= SCORE) & (F.col("total") >= SUPPORT)).select("instance", "total", zero, zero),
+        "placed": patterns.where((F.col("grp") == "place") & (F.col("p_address") >= SCORE) & (F.col("total") >= SUPPORT)).select("pattern", "total", zero, zero),
     }
     entries, rest = [], None
     for kind, rows in lists.items():
@@ -399,20 +436,30 @@ def learn(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, DataFra
     return _model(entries), rest
 
 
-_AT = re.compile(r"@|[\[({<]\s?(?:at|arroba)\s?[\])}>]", re.I)
+_AT = re.compile(r"[@\[({<](?:(?<=@)|(?<!@)\s?([^\W\d_]{1,8})\s?[\])}>])")
 _LOCAL = re.compile(r"[\w.+%'-]*[\w+%-]\s?$")
 _DOMAIN = re.compile(r"\s?(?:[\w-]+(?:\.|\s?[\[({<]\s?(?:dot|punto|point|punkt)\s?[\])}>]\s?))+[^\W\d_]{2,}", re.I)
 
 
-def emails(text: str) -> Iterator[tuple[int, int]]:
+def mails(text: str) -> Iterator[Candidate]:
+    """Stretches with an @, or with a word in brackets between what may be the two halves of a mail address."""
     for m in _AT.finditer(text):
-        local = _LOCAL.search(text, max(0, m.start() - 80), m.start())
-        domain = _DOMAIN.match(text, m.end())
-        if local and domain:
-            start = local.start()
+        if not (domain := _DOMAIN.match(text, m.end())):
+            continue
+        if local := _LOCAL.search(text, max(0, m.start() - 80), m.start()):
+            start, sign = local.start(), (m[1] or "@").lower()
             while text[start] in ".'":
                 start += 1
-            yield start, domain.end()
+            left = _fold(_TOKEN.findall(text, max(0, start - 32), start)[-2:])
+            patterns = [f"{' '.join(left)}|", f"|{domain[0].rpartition('.')[2].lower()}"]
+            yield Candidate(start, domain.end(), sign, patterns, "email" if sign == "@" or sign in AT_CUES else "")
+
+
+def emails(text: str, model: Model | None = None) -> Iterator[tuple[int, int]]:
+    """Mail with a plain sign, a learned one, or in a context of mail."""
+    for c in mails(text):
+        if c.seed or model and (c.instance in model.signs or c.patterns[0] in model.mailed):
+            yield c.start, c.end
 
 
 # fixed values: words of streets and of parts of a building
@@ -433,13 +480,18 @@ _ES = re.compile(
     re.I,
 )
 _DE = re.compile(r"(?<!\w)(?:[A-ZÄÖÜ][\w.’'-]*\s+){1,3}\d{1,4}\s?[a-z]?,\s+(?:[A-Z]-)?$")
-_CODE = re.compile(r"\d{5,}(?:-\d{4})?")
+_CODE = re.compile(r"\d\d{4,}(?:-\d{4})?")
 _BREAKS = set("./-")
+_PLACE = re.compile(r"(?<!\w)(?:\d{1,6}\w?|[A-ZÀ-ÖØ-Þ][\w.’'-]*)(?:[ ,\xa0]+(?:\d[\w.º#/-]*|[A-ZÀ-ÖØ-Þ][\w.’'-]*|#\w+|de|la|las|los|el|du|des|le|del|bis|ter))*,?\s+(?:[A-Z]-)?$")
 _TOWN = re.compile(r"\s+([A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*)")
 
 
-def addresses(text: str) -> Iterator[tuple[int, int]]:
-    """From house number or street to the postal code and, where that precedes it, the town."""
+def places(text: str) -> Iterator[Candidate]:
+    """Stretches from house number or street to the postal code and, where that precedes it, the town.
+
+    One of a form with a word for a street, or of street, number, code and town, is a seed. Of the others it is the
+    longest stretch of numbers, capitalised words and commas before the code.
+    """
     for m in _CODE.finditer(text):
         start, end = m.span()
         if end - start not in (5, 10) or text[end : end + 1] in ("/", "°") or text[end : end + 1] in (".", ",", "-") and text[end + 1 : end + 2].isdigit():
@@ -447,19 +499,34 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         lead = text[max(0, start - 2) : start]
         if lead and lead[-1] in _BREAKS and not (lead[-1] == "-" and lead[0].isupper()):
             continue
-        base = max(0, m.start() - 130)
-        before = text[base : m.start()]
+        base = max(0, start - 130)
+        before = text[base:start]
+        town = _TOWN.match(text, end)
         # the nearest start that leads up to the code without a break
-        if (hits := _nearest(_US, before)) is not None:
-            yield base + hits, m.end()
-            continue
-        town = _TOWN.match(text, m.end())
-        if not town:
-            continue
-        for form in (_FR, _ES, _DE):
-            if (hit := _nearest(form, before)) is not None:
-                yield base + hit, town.end()
-                break
+        hit, seed = _nearest(_US, before), "address"
+        if hit is None and town:
+            hit = next((h for form in (_FR, _ES, _DE) if (h := _nearest(form, before)) is not None), None)
+            end = town.end()
+        if hit is None:
+            if not (stretch := _PLACE.search(before)) or "," not in stretch[0]:
+                continue
+            hit, seed = stretch.start(), ""
+        left = _fold(_TOKEN.findall(text, max(0, base + hit - 32), base + hit)[-2:])
+        patterns = [f"{' '.join(left)}|", f"{' '.join(left[-1:])}|"]
+        yield Candidate(base + hit, end, _place_shape(before[hit:]), list(dict.fromkeys(patterns)), seed)
+
+
+def _place_shape(text: str) -> str:
+    """Numbers as 9, words as a, short capitals as A; repeats once."""
+    tokens = ["9" if t[0].isdigit() else "A" if len(t) == 2 and t.isupper() else "a" if t.isalpha() else t for t in _TOKEN.findall(text)]
+    return " ".join(t for i, t in enumerate(tokens) if not i or t != tokens[i - 1])
+
+
+def addresses(text: str, model: Model | None = None) -> Iterator[tuple[int, int]]:
+    """Addresses of a known form, and those in a context of addresses whose shape is one of addresses."""
+    for c in places(text):
+        if c.seed or model and c.instance in model.forms and any(p in model.placed for p in c.patterns):
+            yield c.start, c.end
 
 
 def _nearest(form: re.Pattern, text: str) -> int | None:
@@ -506,14 +573,14 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
         if all(end <= a or b <= start for _, a, b in out):
             out.append((kind, start, end))
 
-    for s, e in emails(text):
+    for s, e in emails(text, model):
         add("email", s, e)
-    for s, e in addresses(text):
+    for s, e in addresses(text, model):
         add("address", s, e)
     for c in numbers(text):
         if kind := _number_kind(model, c):
             add(kind, c.start, c.end)
-    for r in runs(text, (lang or "").lower().startswith("fr"), model.first):
+    for r in runs(text, (lang or "").lower().startswith("fr")):
         words = r.words
         if r.opens and len(words) > 1 and not _is_first(model, words[0][1]):
             # the word that opens the sentence is context
@@ -553,10 +620,17 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
 
 def _may_hold_lower(text: str, model: Model) -> bool:
     """Whether a given name in lower case, or an initial in lower case beside a last name, stands in the text."""
-    words = set(_NAME_WORD.findall(text))
+    words = set(text.split())
+    for w in [w for w in words if not w.isalpha()]:
+        words.update(_NAME_WORD.findall(w))
     if any(w in model.first for w in words) if isinstance(model.first, _Both) else not model.first.isdisjoint(words):
         return True
-    return any(_is_last(model, w) for m in _LOWER_INITIAL.finditer(text) for w in (m[1], m[2]) if w)
+    for m in _LOWER_INITIAL.finditer(text):
+        if m[1] and _is_last(model, m[1]):
+            return True
+        if (b := _BEFORE_INITIAL.search(text, max(0, m.start() - 61), m.start() - 1)) and _is_last(model, b[1]):
+            return True
+    return False
 
 
 def _add_lower(text: str, at: int, model: Model, add) -> None:

@@ -92,6 +92,20 @@ def test_given_names_of_two_letters(spark):
     assert "jo" in model.first and "j." not in model.first and rest is None
 
 
+def test_learned_signs_and_forms(spark):
+    word = lambda i: "".join("bdfgklmnpr"[int(c)] + "aeiou"[int(c) % 5] for c in f"{i:03}")
+    rows = [(i, f"Please write {word(i)}@office.example today. The claimant lives at {i} {word(i).title()} Street, Lindrau, QA 00{i + 100}.", "en") for i in range(200)]
+    rows += [(1000 + i, f"Please write {word(i)} [chez] office.example today. See rule 5 (old) text.Then go.", "en") for i in range(20)]
+    rows += [(2000 + i, f"The claimant lives at {word(i).title()} Mews, {i}, Lindrau, QA 00{i + 100} now. The Fund holds Tranche {i}, Series 00{i + 300} now.", "en") for i in range(20)]
+    got = {(r.doc_id, r.kind, r.char_start, r.char_end) for r in find_private(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang").collect()}
+    for d, t, _ in rows:
+        kinds = {(k, t[s:e]) for i, k, s, e in got if i == d}
+        if d < 2000:
+            assert ("email", t[13 : t.index(" today")]) in kinds and len([k for k, _ in kinds if k == "email"]) == 1, (t, kinds)
+        else:
+            assert [v for k, v in kinds if k == "address"] == [t[22 : t.index(" now")]], (t, kinds)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert find_private(df, "doc_id", "text", "lang").count() == 0
