@@ -77,7 +77,6 @@ _RUN = re.compile(
     rf"(?:(?:{_NEXT})+(?![\w@])|(?![\w@])(?=,))"
 )
 _COMMA_FIRST = re.compile(rf",{_GAP}({_CAP}(?:{_GAP}[A-ZÀ-ÖØ-Þ]\.)?)(?=\s*[,;.:)(]|{_GAP}[a-zà-ÿ(])")
-_GAPS = re.compile(r"\s")
 _SPACED = re.compile(r"\S+")
 _ANY = r"(?:[^\W\d_](?:\.|[^\W\d_]*(?:['’-][^\W\d_]+)*))"
 _LOWER = re.compile(rf"{_GAP}?({_ANY}(?:,?{_GAP}{_ANY}){{1,3}})")
@@ -164,7 +163,7 @@ class Run(NamedTuple):
 
     start: int
     end: int
-    words: list[tuple[int, str]]
+    words: list[str]
     seed: bool  # a form of address leads
     opens: bool  # begins a sentence
     floor: int  # end of a run just before, or 0
@@ -185,64 +184,76 @@ def _line_breaks(text: str, run: re.Match) -> list[int]:
     return out
 
 
-def _inner(r: Run) -> Run | None:
+def _inner(text: str, r: Run) -> Run | None:
     """The run without the word that opens its sentence."""
     words = r.words[1:]
-    while words and words[0][1].lower() in PARTICLES:
+    at = r.start + len(r.words[0])
+    while words and words[0].lower() in PARTICLES:
+        at = text.index(words[0], at) + len(words[0])
         words = words[1:]
-    return r._replace(words=words, start=words[0][0], opens=False, floor=0) if words else None
+    return r._replace(words=words, start=text.index(words[0], at), opens=False, floor=0) if words else None
+
+
+_SPECIAL = NOT_NAMES | ADDRESS_FORMS | BODY_WORDS
 
 
 def runs(text: str, french: bool) -> Iterator[Run]:
     previous = 0
     for m in _RUN.finditer(text):
-        whole = m[0]
-        if not _GAPS.search(whole) and whole.lower() in NOT_NAMES:
+        whole, at = m[0], m.start()
+        words = whole.split()
+        lows = whole.lower().split()
+        if "." in whole:
+            lows = [w.rstrip(".") for w in lows]
+        if _SPECIAL.isdisjoint(lows) and "\n" not in whole and not (french and "m" in lows):
+            parts = [(at, m.end(), words, False, True)]
+        elif len(words) == 1 and whole.lower() in NOT_NAMES:
             continue  # the first half of "Last, First" is no function word
-        lows = [w.rstrip(".") for w in whole.lower().split()]
-        plain = "\n" not in whole and ADDRESS_FORMS.isdisjoint(lows) and not (french and "m" in lows)
-        if plain and not BODY_WORDS.isdisjoint(lows) and NOT_NAMES.isdisjoint(lows):
+        elif NOT_NAMES.isdisjoint(lows) and ADDRESS_FORMS.isdisjoint(lows) and not BODY_WORDS.isdisjoint(lows) and "\n" not in whole and not (french and "m" in lows):
             continue  # one part, which names a body
-        at = m.start()
-        words = [(at + w.start(), w[0]) for w in _SPACED.finditer(whole)]
-        seed, opened, part = False, True, []
-        parts: list[tuple[list[tuple[int, str]], bool, bool]] = []
-        if plain and NOT_NAMES.isdisjoint(lows):
-            part = words
         else:
-            breaks = _line_breaks(text, m) if "\n" in whole else ()
-            for w in words:
-                if part and breaks and any(part[-1][0] < b < w[0] for b in breaks):
-                    parts.append((part, seed, opened))
-                    seed, part = False, []
-                form = w[1].rstrip(".").lower() in ADDRESS_FORMS or (w[1] == "M." and french and not part)
-                if form or w[1][0].isupper() and _stops(w[1]):
-                    if part:
-                        parts.append((part, seed, opened))
-                    seed, opened, part = form, opened and not parts and not part and not form, []
-                else:
-                    part.append(w)
-        if part:
-            parts.append((part, seed, opened))
-        for part, seed, first in parts:
-            while part and not seed and part[0][1].lower() in PARTICLES:
-                part = part[1:]
-            while part and part[-1][1].lower() in PARTICLES:
-                part = part[:-1]
-            if not part or not seed and any(w.lower() in BODY_WORDS for _, w in part):
-                continue
-            start, end = part[0][0], part[-1][0] + len(part[-1][1])
+            parts = list(_parts(text, m, french))
+        for start, end, part, seed, first in parts:
             opens = False
             if first and not seed:
-                head = text[max(0, m.start() - 3) : m.start()].rstrip(" \t\xa0")
+                head = text[max(0, at - 3) : at].rstrip(" \t\xa0")
                 opens = not head or head[-1] in ".!?;\n\r…”" or not head[-1].isalnum() and head[-1] not in ",:-–—("
             yield Run(start, end, part, seed, opens, previous if previous > start - 12 else 0)
             previous = end
 
 
+def _parts(text: str, m: re.Match, french: bool) -> Iterator[tuple[int, int, list[str], bool, bool]]:
+    """A run cut at forms of address, function words and ends of short lines; parts that name a body are left out."""
+    breaks = _line_breaks(text, m) if "\n" in m[0] else ()
+    seed, opened, part = False, True, []
+    parts: list[tuple[list[tuple[int, str]], bool, bool]] = []
+    for w in [(m.start() + w.start(), w[0]) for w in _SPACED.finditer(m[0])]:
+        if part and breaks and any(part[-1][0] < b < w[0] for b in breaks):
+            parts.append((part, seed, opened))
+            seed, part = False, []
+        form = w[1].rstrip(".").lower() in ADDRESS_FORMS or (w[1] == "M." and french and not part)
+        if form or w[1][0].isupper() and _stops(w[1]):
+            if part:
+                parts.append((part, seed, opened))
+            seed, opened, part = form, opened and not parts and not part and not form, []
+        else:
+            part.append(w)
+    if part:
+        parts.append((part, seed, opened))
+    for part, seed, first in parts:
+        while part and not seed and part[0][1].lower() in PARTICLES:
+            part = part[1:]
+        while part and part[-1][1].lower() in PARTICLES:
+            part = part[:-1]
+        if part and (seed or not any(w.lower() in BODY_WORDS for _, w in part)):
+            yield part[0][0], part[-1][0] + len(part[-1][1]), [w for _, w in part], seed, first
+
+
 def _last(word: str) -> str:
-    low = word.lower().removesuffix("'s").removesuffix("’s")
-    return re.sub("^(?:o|d)['’]", "", low)
+    low = word.lower()
+    if "'" in low or "’" in low:
+        low = re.sub("^(?:o|d)['’]", "", low.removesuffix("'s").removesuffix("’s"))
+    return low
 
 
 def _name_patterns(left: list[str], right: list[str]) -> list[str]:
@@ -277,17 +288,17 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for p in c.patterns:
                         seen[group, p, c.instance, c.seed] += 1
             for r in runs(text, (lang or "").lower().startswith("fr")):
-                if len(r.words) == 1 and (r.opens or len(r.words[0][1]) < 3):
+                if len(r.words) == 1 and (r.opens or len(r.words[0]) < 3):
                     continue
-                last, seed = _last(r.words[-1][1]), "name" if r.seed else ""
+                last, seed = _last(r.words[-1]), "name" if r.seed else ""
                 # the word that opens a sentence may be the context of the name or its first word
-                for each in (r, _inner(r)) if r.opens else (r,):
+                for each in (r, _inner(text, r)) if r.opens else (r,):
                     if each is None:
                         continue
                     for p in _patterns(text, each):
                         seen["name", p, last, seed] += 1
                     if len(each.words) > 1 and not r.seed:
-                        seen["full", each.words[0][1].lower(), last, "" if each.opens else "name"] += 1
+                        seen["full", each.words[0].lower(), last, "" if each.opens else "name"] += 1
             if len(seen) > 200_000:
                 yield flush()
     yield flush()
@@ -377,7 +388,7 @@ def _looked_up(text: str, french: bool) -> set[tuple[str, str]]:
     for c in places(text):
         out |= {("placed", p) for p in c.patterns} | {("form", c.instance)}
     for r in runs(text, french):
-        for each in (r, _inner(r)):
+        for each in (r, _inner(text, r)):
             if each is not None:
                 out |= {("pattern", p) for p in _patterns(text, each)}
     for m in _NAME_WORD.finditer(text):
@@ -557,7 +568,7 @@ _INITIAL = re.compile(r"[^\W\d_]\.")
 
 
 def _is_first(model: Model, word: str) -> bool:
-    return word.lower() in model.first or bool(_INITIAL.fullmatch(word))
+    return word.lower() in model.first or len(word) == 2 and word[1] == "." and bool(_INITIAL.fullmatch(word))
 
 
 def _is_last(model: Model, word: str) -> bool:
@@ -582,22 +593,23 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
             add(kind, c.start, c.end)
     for r in runs(text, (lang or "").lower().startswith("fr")):
         words = r.words
-        if r.opens and len(words) > 1 and not _is_first(model, words[0][1]):
+        if r.opens and len(words) > 1 and not _is_first(model, words[0]):
             # the word that opens the sentence is context
-            if (r := _inner(r)) is None:
+            if (r := _inner(text, r)) is None:
                 continue
             words = r.words
-        last, end = _is_last(model, words[-1][1]), r.end
+        last, end = _is_last(model, words[-1]), r.end
         if len(words) == 1:
             if (more := _COMMA_FIRST.match(text, end)) and _is_first(model, _SPACED.match(more[1])[0]) and (last or not r.opens):
                 end = more.end(1)
             elif r.opens or not (last or r.seed):
                 continue
-        hit = r.seed or (last and (len(words) > 1 or end > r.end) and (end > r.end or _is_first(model, words[0][1])))
+        first = _is_first(model, words[0])
+        hit = r.seed or (last and (len(words) > 1 or end > r.end) and (end > r.end or first))
         if not hit:
             found = [p for p in _patterns(text, r) if p in model.patterns]
             sure = [p for p in found if not p.startswith("|")]
-            hit = bool(found) if last or _is_first(model, words[0][1]) else bool(sure) and (len(words) > 1 or end > r.end)
+            hit = bool(found) if last or first else bool(sure) and (len(words) > 1 or end > r.end)
         if hit:
             if text[end - 2 : end] in ("'s", "’s"):
                 end -= 2
