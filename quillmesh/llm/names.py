@@ -138,8 +138,21 @@ class Vocabulary:
         self.by_letter: dict[str, list[str]] = defaultdict(list)
         for w in sorted(frequency):
             self.by_letter[w[0]].append(w)
+        self.letters = [(w, frozenset(w)) for w in sorted(frequency, key=lambda w: (-len(w), w))]
         self.seen: dict[str, list[tuple[str, float]]] = {}
 
+    def nearest(self, word: str) -> tuple[float, str]:
+        """The least distance over length, and its word; a distance above 3 counts as 4. A word whose letters or length
+        already cost too much is not compared."""
+        letters, best = frozenset(word), (9.0, "")
+        for w, own in self.letters:
+            least = 0.7 * max(abs(len(word) - len(w)), len(letters - own), len(own - letters))
+            if least > 3:
+                best = min(best, (4 / len(w), w))
+            elif least / len(w) <= best[0]:
+                best = min(best, (distance(word, w) / len(w), w))
+        return best
+
     def readings(self, word: str) -> list[tuple[str, float]]:
         """``(word, cost)`` of all readings, the best first; ties by frequency."""
         if word in self.seen:

@@ -21,7 +21,7 @@ order is email, address, phone and id, name. Offsets count code points.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -82,6 +82,7 @@ _ANY = r"(?:[^\W\d_](?:\.|[^\W\d_]*(?:['’-][^\W\d_]+)*))"
 _LOWER = re.compile(rf"{_GAP}?({_ANY}(?:,?{_GAP}{_ANY}){{1,3}})")
 _LOWER_BEFORE = re.compile(rf"(?<![\w'’-])({_ANY}(?:,?{_GAP}{_ANY}){{1,3}}){_GAP}?$")
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_BLANKED = {i: " " for i in range(128) if not chr(i).isalpha() and chr(i) not in "'-"}  # what parts name words
 _LOWER_INITIAL = re.compile(rf"\.(?<=[^\W\d_A-Z].)(?<!\w..)(?:{_GAP}[^\W\d_]\.)*(?:{_GAP}({_NAME_WORD.pattern}))?")
 _BEFORE_INITIAL = re.compile(rf"({_NAME_WORD.pattern}),{_GAP}$")
 _NEXT_NAME = re.compile(rf"(?:,|;|{_GAP}(?:and|et|und|y)){_GAP}")
@@ -266,17 +267,22 @@ def _patterns(text: str, r: Run) -> list[str]:
     return _name_patterns(*_sides(text, r.start, r.end, r.floor))
 
 
+def _matched(text: str, r: Run, model: Model, known: bool) -> list[str]:
+    """The patterns of a run that the model has; where no word of the run is known, those with a word before it."""
+    if not known and r.floor < r.start - 32 and "".join(_around(text, max(0, r.start - 32), r.start, slice(-1, None))) not in model.lefts:
+        return []
+    return [p for p in _patterns(text, r) if p in model.patterns]
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, pattern, instance, n, seeds of each kind) and, as group ``full``, first and last words of names."""
-    seen: Counter[tuple[str, str, str, str]] = Counter()
+    """(group, pattern, instance, kind of seed or '', n) and, as group ``full``, first and last words of names."""
+    seen: dict[tuple[str, str, str, str], int] = defaultdict(int)
 
     def flush() -> pa.RecordBatch:
         keys = list(seen)
-        n = [seen[k] for k in keys]
-        cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(n, pa.int64())]
-        cols += [pa.array([v if k[3] == kind else 0 for k, v in zip(keys, n)], pa.int64()) for kind in KINDS]
+        cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)] + [pa.array(list(seen.values()), pa.int64())]
         seen.clear()
-        return pa.RecordBatch.from_arrays(cols, ["grp", "pattern", "instance", "n", *KINDS])
+        return pa.RecordBatch.from_arrays(cols, ["grp", "pattern", "instance", "seed", "n"])
 
     for batch in batches:
         for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -339,6 +345,7 @@ class Model(NamedTuple):
     mailed: frozenset[str] = frozenset()  # contexts of mail
     forms: frozenset[str] = frozenset()  # shapes of addresses
     placed: frozenset[str] = frozenset()  # contexts of addresses
+    lefts: frozenset[str] = frozenset()  # the word before a name in its patterns, '' in those without one
 
 
 class _Both:
@@ -361,16 +368,18 @@ def _model(entries: list[tuple[str, str, int, float, float]]) -> Model:
     """From ``(list, entry, total, score, score)``."""
     of = lambda kind: [e for e in entries if e[0] == kind]
     # words of a name confirm what a literal context only suggests
+    patterns = frozenset(p for _, p, _, a, _ in of("pattern") if a >= SCORE)
     literal = [p for _, p, n, _, _ in of("pattern") if n >= 20 and re.search(r"[^\W\d_]{2}", p) and "<n>" not in p]
     return Model(
         {p: (a, b) for _, p, _, a, b in of("context")},
         {p: (a, b) for _, p, _, a, b in of("shape")},
-        frozenset(p for _, p, _, a, _ in of("pattern") if a >= SCORE),
+        patterns,
         frozenset(p for _, p, *_ in of("first")),
         frozenset(p for _, p, *_ in of("last")),
         frozenset(p[:-1] for p in literal if p.endswith("|")),
         frozenset(p[1:] for p in literal if p.startswith("|")),
         *(frozenset(p for _, p, *_ in of(kind)) for kind in ("sign", "mailed", "form", "placed")),
+        frozenset(p.partition("|")[0].rpartition(" ")[2] for p in patterns),
     )
 
 
@@ -406,9 +415,9 @@ def learn(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, DataFra
     The rest has ``(list, entry, total, a, b)``.
     """
     src = df.select(key, text, lang).where(F.length(text) > 0)
-    schema = "grp string, pattern string, instance string, n bigint, " + ", ".join(f"{k} bigint" for k in KINDS)
-    raw = src.mapInArrow(_edges, schema)
-    edges = materialize(raw.groupBy("grp", "pattern", "instance").agg(*[F.sum(c).alias(c) for c in ("n", *KINDS)]), "edges")
+    raw = src.mapInArrow(_edges, "grp string, pattern string, instance string, seed string, n bigint")
+    seeds = [F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS]
+    edges = materialize(raw.groupBy("grp", "pattern", "instance").agg(F.sum("n").alias("n"), *seeds), "edges")
     patterns, instances = score_graph(edges.where("grp <> 'full'"))
 
     last = instances.where((F.col("grp") == "name") & (F.col("i_name") >= 0.5) & (F.col("total") > 4))  # more than one mention
@@ -607,7 +616,7 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
         first = _is_first(model, words[0])
         hit = r.seed or (last and (len(words) > 1 or end > r.end) and (end > r.end or first))
         if not hit:
-            found = [p for p in _patterns(text, r) if p in model.patterns]
+            found = _matched(text, r, model, last or first)
             sure = [p for p in found if not p.startswith("|")]
             hit = bool(found) if last or first else bool(sure) and (len(words) > 1 or end > r.end)
         if hit:
@@ -632,7 +641,7 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
 
 def _may_hold_lower(text: str, model: Model) -> bool:
     """Whether a given name in lower case, or an initial in lower case beside a last name, stands in the text."""
-    words = set(text.split())
+    words = set((text.translate(_BLANKED) if text.isascii() else text).split())
     for w in [w for w in words if not w.isalpha()]:
         words.update(_NAME_WORD.findall(w))
     if any(w in model.first for w in words) if isinstance(model.first, _Both) else not model.first.isdisjoint(words):
