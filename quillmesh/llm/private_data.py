@@ -57,7 +57,6 @@ NOT_NAMES = set(
     el los las una unos unas y o si por para en con sin sobre este esta estos cada todo toda al del lo su sus
     secretary director administrator comptroller secretariat state states docket form doc no nr bl""".split()
 )
-KINDS = ("phone", "id", "name", "email", "address")
 CUES = 5
 
 _NUMBER = re.compile(r"\d(?:[() ./\-\xa0\r\n]*\d){6,}")
@@ -311,26 +310,22 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of the patterns and of the instances of a pattern-instance graph."""
-    patterns = None
-    for _ in range(rounds):
-        known = edges if patterns is None else edges.join(patterns.drop("total"), ["grp", "pattern"])
-        # a name word has few of its mentions after a form of address, a number shape has many beside a cue
-        weight = F.when(F.col("grp") == "name", 20.0).otherwise(2.0)
-        by_seed = lambda k: F.least(F.lit(1.0), F.first(weight) * F.sum(k) / F.sum("n"))
-        scores = [
-            (by_seed(k) if patterns is None else F.greatest(by_seed(k), F.sum(F.col("n") * F.col(f"p_{k}")) / F.sum("n"))).alias(f"i_{k}")
-            for k in KINDS
-        ]
-        instances = known.groupBy("grp", "instance").agg(F.sum("n").alias("total"), *scores)
-        scores = [(F.sum(F.col("n") * F.col(f"i_{k}")) / F.sum("n")).alias(f"p_{k}") for k in KINDS]
-        patterns = (
-            edges.join(instances.drop("total"), ["grp", "instance"])
-            .groupBy("grp", "pattern")
-            .agg(F.sum("n").alias("total"), *scores)
-        )
-        patterns = materialize(patterns, "patterns")
-    return patterns, materialize(instances, "instances")
+    """Scores ``(id, total, a, b)`` of the patterns and of the instances of a graph ``(pid, iid, n, a, b, weight)``.
+
+    ``a`` and ``b`` are the seeds of the kinds of a group. Only ids and numbers travel in the rounds.
+    """
+    # a name word has few of its mentions after a form of address, a number shape has many beside a cue
+    by_seed = lambda k: F.least(F.lit(1.0), F.first("weight") * F.sum(k) / F.sum("n"))
+    seeded = materialize(edges.groupBy("iid").agg(F.sum("n").alias("total"), by_seed("a").alias("sa"), by_seed("b").alias("sb")), "seeds")
+    instances = seeded.select("iid", "total", F.col("sa").alias("a"), F.col("sb").alias("b"))
+    graph = edges.select("pid", "iid", "n")
+    mean = lambda k: (F.sum(F.col("n") * F.col(k)) / F.sum("n")).alias(k)
+    for i in range(rounds):
+        patterns = materialize(graph.join(instances.select("iid", "a", "b"), "iid").groupBy("pid").agg(F.sum("n").alias("total"), mean("a"), mean("b")), "patterns")
+        if i + 1 < rounds:
+            found = graph.join(patterns.select("pid", "a", "b"), "pid").groupBy("iid").agg(mean("a"), mean("b"))
+            instances = seeded.join(found, "iid").select("iid", "total", F.greatest("sa", "a").alias("a"), F.greatest("sb", "b").alias("b"))
+    return patterns.withColumnRenamed("pid", "id"), materialize(instances, "instances").withColumnRenamed("iid", "id")
 
 
 class Model(NamedTuple):
@@ -383,10 +378,6 @@ def _model(entries: list[tuple[str, str, int, float, float]]) -> Model:
     )
 
 
-def _tokens(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "9" if m[0].isdigit() else m[0].lower()) for m in _TOKEN.finditer(text)]
-
-
 def _looked_up(text: str, french: bool) -> set[tuple[str, str]]:
     """``(list, entry)`` of all that ``find`` may ask of a model for this text."""
     out = set()
@@ -403,7 +394,7 @@ def _looked_up(text: str, french: bool) -> set[tuple[str, str]]:
     for m in _NAME_WORD.finditer(text):
         low = _last(m[0])
         out |= {("first", m[0].lower()), ("last", low)} | {("last", p) for p in low.split("-")}
-    tokens = [t for _, _, t in _tokens(text)]
+    tokens = _fold(_TOKEN.findall(text))
     for p in {*tokens, *map(" ".join, zip(tokens, tokens[1:]))}:
         out |= {("pattern", p + "|"), ("pattern", "|" + p)}
     return out
@@ -416,32 +407,38 @@ def learn(df: DataFrame, key: str, text: str, lang: str) -> tuple[Model, DataFra
     """
     src = df.select(key, text, lang).where(F.length(text) > 0)
     raw = src.mapInArrow(_edges, "grp string, pattern string, instance string, seed string, n bigint")
-    seeds = [F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS]
-    edges = materialize(raw.groupBy("grp", "pattern", "instance").agg(F.sum("n").alias("n"), *seeds), "edges")
-    patterns, instances = score_graph(edges.where("grp <> 'full'"))
-
-    last = instances.where((F.col("grp") == "name") & (F.col("i_name") >= 0.5) & (F.col("total") > 4))  # more than one mention
+    seeds = lambda *kinds: F.sum(F.when(F.col("seed").isin(*kinds), F.col("n")).otherwise(0))
+    edges = raw.groupBy("grp", "pattern", "instance").agg(F.sum("n").alias("n"), seeds("phone", "name", "email", "address").alias("a"), seeds("id").alias("b"))
+    weight = F.when(F.col("grp") == "name", 20.0).otherwise(2.0)
+    edges = materialize(edges.select("*", F.xxhash64("grp", "pattern").alias("pid"), F.xxhash64("grp", "instance").alias("iid"), weight.alias("weight")), "edges")
+    graph = edges.where("grp <> 'full'")
+    patterns, instances = score_graph(graph)
+
+    def named(scores: DataFrame, group: str, side: str, least: float, support: int) -> DataFrame:
+        """``(entry, total, a, b)`` of a group; the strings come back for what is kept only."""
+        kept = scores.where((F.greatest("a", "b") >= least) & (F.col("total") >= support))
+        strings = graph.where(F.col("grp") == group).select(F.col("pid" if side == "pattern" else "iid").alias("id"), F.col(side).alias("entry"))
+        return strings.join(kept, "id", "left_semi").distinct().join(kept, "id").select("entry", "total", "a", "b")
+
+    last = materialize(named(instances, "name", "instance", 0.5, 5), "last")  # more than one mention: each has up to four edges
     full = edges.where("grp = 'full'")
     first = (
-        full.join(last.select("instance", F.lit(1).alias("known")), "instance", "left")
+        full.join(last.select(F.col("entry").alias("instance"), F.lit(1).alias("known")), "instance", "left")
         .groupBy("pattern")
-        .agg(F.sum("n").alias("total"), (F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), (F.sum("name") / F.sum("n")).alias("inside"))
+        .agg(F.sum("n").alias("total"), (F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), (F.sum("a") / F.sum("n")).alias("inside"))
         # a word that mostly opens sentences is no given name; initials need no list
         .where((F.col("share") >= 0.5) & (F.col("inside") >= 0.3) & (F.col("total") >= 2) & ~F.col("pattern").rlike(r"^.\.?$"))
     )
-    good = patterns.where((F.col("grp") == "name") & (F.col("p_name") >= TRIGGER) & (F.col("total") >= SUPPORT))
-    numbers_ = patterns.where((F.col("grp") == "num") & (F.col("total") >= SUPPORT))
-    zero = F.lit(0.0)
     lists = {
-        "context": numbers_.select("pattern", "total", "p_phone", "p_id"),
-        "shape": instances.where("grp = 'num'").select("instance", "total", "i_phone", "i_id"),
-        "pattern": good.select("pattern", "total", "p_name", zero),
-        "first": first.select("pattern", "total", zero, zero),
-        "last": last.select("instance", "total", zero, zero),
-        "sign": instances.where((F.col("grp") == "at") & (F.col("i_email") >= SCORE)).select("instance", "total", zero, zero),
-        "mailed": patterns.where((F.col("grp") == "at") & (F.col("p_email") >= SCORE) & (F.col("total") >= SUPPORT)).select("pattern", "total", zero, zero),
-        "form": instances.where((F.col("grp") == "place") & (F.col("i_address") >= SCORE) & (F.col("total") >= SUPPORT)).select("instance", "total", zero, zero),
-        "placed": patterns.where((F.col("grp") == "place") & (F.col("p_address") >= SCORE) & (F.col("total") >= SUPPORT)).select("pattern", "total", zero, zero),
+        "context": named(patterns, "num", "pattern", 0.0, SUPPORT),
+        "shape": named(instances, "num", "instance", 0.0, 0),
+        "pattern": named(patterns, "name", "pattern", TRIGGER, SUPPORT),
+        "first": first.select("pattern", "total", F.lit(0.0), F.lit(0.0)),
+        "last": last,
+        "sign": named(instances, "at", "instance", SCORE, 0),
+        "mailed": named(patterns, "at", "pattern", SCORE, SUPPORT),
+        "form": named(instances, "place", "instance", SCORE, SUPPORT),
+        "placed": named(patterns, "place", "pattern", SCORE, SUPPORT),
     }
     entries, rest = [], None
     for kind, rows in lists.items():
@@ -623,35 +620,62 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
             if text[end - 2 : end] in ("'s", "’s"):
                 end -= 2
             add("name", r.start, end)
-    if _may_hold_lower(text, model):
-        tokens = _tokens(text)
-        folded = [x for _, _, x in tokens]
-        pairs = [*map(" ".join, zip(folded, folded[1:]))]
-        for i, (_, e, word) in enumerate(tokens):
-            if word in model.before or i and pairs[i - 1] in model.before:
-                _add_lower(text, e, model, add)
-        for i, (s, _, word) in enumerate(tokens):
-            if (word in model.after or i < len(pairs) and pairs[i] in model.after) and (b := _LOWER_BEFORE.search(text, max(0, s - 60), s)) and (w := _lower_tail(b[1], model)):
-                add("name", b.start(1) + w[0], b.start(1) + w[1])
+    anchors = _lower_anchors(text, model)
+    if anchors:
+        for tokens in _windows(text, anchors):
+            folded = [x for _, _, x in tokens]
+            pairs = [*map(" ".join, zip(folded, folded[1:]))]
+            for i, (_, e, word) in enumerate(tokens):
+                if word in model.before or i and pairs[i - 1] in model.before:
+                    _add_lower(text, e, model, add)
+            for i, (s, _, word) in enumerate(tokens):
+                if (word in model.after or i < len(pairs) and pairs[i] in model.after) and (b := _LOWER_BEFORE.search(text, max(0, s - 60), s)) and (w := _lower_tail(b[1], model)):
+                    add("name", b.start(1) + w[0], b.start(1) + w[1])
         for _, _, e in [x for x in out if x[0] == "name"]:
             if m := _NEXT_NAME.match(text, e):
                 _add_lower(text, m.end(), model, add)
     return sorted(out, key=lambda x: (x[1], x[2]))
 
 
-def _may_hold_lower(text: str, model: Model) -> bool:
-    """Whether a given name in lower case, or an initial in lower case beside a last name, stands in the text."""
+def _lower_anchors(text: str, model: Model) -> list[tuple[int, int]]:
+    """Where given names in any case and initials stand, if a name in lower case may stand in the text: if it holds a given
+    name in lower case, or an initial in lower case beside a last name."""
     words = set((text.translate(_BLANKED) if text.isascii() else text).split())
     for w in [w for w in words if not w.isalpha()]:
         words.update(_NAME_WORD.findall(w))
-    if any(w in model.first for w in words) if isinstance(model.first, _Both) else not model.first.isdisjoint(words):
-        return True
-    for m in _LOWER_INITIAL.finditer(text):
-        if m[1] and _is_last(model, m[1]):
-            return True
-        if (b := _BEFORE_INITIAL.search(text, max(0, m.start() - 61), m.start() - 1)) and _is_last(model, b[1]):
-            return True
-    return False
+    if not (any(w in model.first for w in words) if isinstance(model.first, _Both) else not model.first.isdisjoint(words)):
+        for m in _LOWER_INITIAL.finditer(text):
+            if m[1] and _is_last(model, m[1]) or (b := _BEFORE_INITIAL.search(text, max(0, m.start() - 61), m.start() - 1)) and _is_last(model, b[1]):
+                break
+        else:
+            return []
+    given = sorted({re.escape(w) for w in words if w.lower() in model.first}, key=len, reverse=True)
+    anchor = re.compile("|".join([rf"(?<![^\W\d_])(?:{'|'.join(given)})(?![^\W\d_])", r"(?<!\w)[^\W\d_]\."] if given else [r"(?<!\w)[^\W\d_]\."]))
+    return [m.span() for m in anchor.finditer(text)]
+
+
+def _windows(text: str, anchors: list[tuple[int, int]]) -> Iterator[list[tuple[int, int, str]]]:
+    """The tokens around the anchors: a name begins at most three words before one and ends as many after it."""
+    start = end = 0
+    spans: list[list[int]] = []
+    for s, e in anchors:
+        start, end = _words_off(text, s, -6), _words_off(text, e, 6)
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(end, spans[-1][1])
+        else:
+            spans.append([start, end])
+    for start, end in spans:
+        yield [(m.start(), m.end(), "9" if m[0].isdigit() else m[0].lower()) for m in _TOKEN.finditer(text, start, end)]
+
+
+def _words_off(text: str, at: int, words: int) -> int:
+    """The offset some blank-separated words before or after one, in whole tokens."""
+    step = -1 if words < 0 else 1
+    left, size = abs(words), len(text)
+    while 0 < at < size and left:
+        at += step
+        left -= text[at - 1 if step < 0 else at - 1].isspace() and not text[at : at + 1].isspace()
+    return at
 
 
 def _add_lower(text: str, at: int, model: Model, add) -> None:

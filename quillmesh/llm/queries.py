@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.bpe import encode
@@ -11,7 +11,7 @@ from quillmesh.llm.containers import fill_containers
 from quillmesh.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from quillmesh.llm.private_data import find_private, redact
 from quillmesh.llm.setjoin import similar_sets
-from quillmesh.llm.split import pieces, section_openings
+from quillmesh.llm.split import LIMIT, OVERLAP, pieces, section_openings
 from quillmesh.llm.variants import variant_keys, variant_pairs
 from quillmesh.sources.tables import table
 
@@ -25,12 +25,30 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return fill_containers(sizes, "doc_id")
 
 
+def p9_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same texts in containers of four context sizes."""
+    sizes = encode(table(spark, sf, "documents"), "doc_id", "text", ids=False)
+    return fill_containers(sizes, "doc_id", windows=(256, 512, 1024, 2048))
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return section_openings(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return pieces(table(spark, sf, "documents"), "doc_id", "text")
+    return pieces(table(spark, sf, "documents"), "doc_id", "text").drop("openings")
+
+
+def p1_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the pieces of every text: they reach its end, keep the limit and the overlap, and are its characters."""
+    d = table(spark, sf, "documents")
+    p = pieces(d, "doc_id", "text").withColumn("next_start", F.lead("char_start").over(Window.partitionBy("doc_id").orderBy("piece")))
+    p = p.join(d.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    same = F.expr("substring(whole, cast(char_start + 1 as int), cast(char_end - char_start as int))") == F.col("text")
+    return p.groupBy("doc_id").agg(
+        F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"), F.every(F.length("text") <= LIMIT).alias("within"),
+        F.every(F.col("next_start").isNull() | (F.col("next_start") == F.col("char_end") - OVERLAP)).alias("overlapping"), F.every(same).alias("unchanged"),
+    )
 
 
 def _reference(spark: SparkSession, sf: str):
@@ -90,8 +108,9 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redact(table(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_misses": p3_misses, "p10_found": p10_found, "p10_redacted": p10_redacted, "p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_misses": p3_misses, "p10_found": p10_found, "p10_redacted": p10_redacted, "p1_found": p1_found, "p1_pieces": p1_pieces, "p1_bounds": p1_bounds, "p9_windows": p9_windows, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {
+    "p1_bounds": "SELECT doc_id, CAST(0 AS BIGINT) AS first_start, length(text) AS last_end, true AS within, true AS overlapping, true AS unchanged FROM documents WHERE length(text) > 6000",
     "p4_found": """
 WITH r AS (SELECT ord, list_distinct(list_filter(list_transform(taxonomy_tags, lambda x: lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))),
                                                  lambda x: x IS NOT NULL AND x <> '')) AS s FROM segments_raw),

@@ -20,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.pairs import same_key_pairs
 from quillmesh.session import materialize
 
 COMBINATIONS = 400
@@ -172,7 +173,7 @@ def similar_sets(
 
     if right is None:
         across = pairs.join(of(0, "a"), "digest_a").join(of(0, "b"), "digest_b")
-        same = of(0, "a").join(of(0, "b").withColumnRenamed("digest_b", "digest_a"), "digest_a").where("row_a < row_b")
+        same = same_key_pairs(members, "digest", "row")
         found = across.select(F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b"))
         found = found.unionByName(same.select("row_a", "row_b"))
     else:

@@ -9,7 +9,7 @@ An opening stands alone on its line with a number and a heading, and text of its
 contents, mentions in running text and openings led by a quotation mark are none.
 
 Defined results: a NULL text and one within the limit have no pieces in ``pieces`` with ``whole=False`` and one piece
-otherwise (a NULL text none). A text without any boundary is cut at the midpoint. Offsets count code points.
+otherwise (a NULL text none). Every piece names the sections that open in it. A text without any boundary is cut at the midpoint. Offsets count code points.
 """
 
 from __future__ import annotations
@@ -115,11 +115,11 @@ def boundaries(text: str) -> list[list[int]]:
     return [openings(text), blank or lines, lines, sentences, [m.end() for m in re.finditer(r"\s+", text)]]
 
 
-def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
-    """Offsets where ``text`` is cut, in order."""
+def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, kinds: list[list[int]] | None = None) -> list[int]:
+    """Offsets where ``text`` is cut, in order; ``kinds`` are its boundaries, if known."""
     if len(text) <= limit:
         return []
-    kinds = boundaries(text)
+    kinds = kinds or boundaries(text)
     out: list[int] = []
     spans = [(0, len(text))]
     while spans:
@@ -142,47 +142,49 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     return sorted(out)
 
 
-def section_openings(df: DataFrame, key: str, text: str, longer_than: int = LIMIT) -> DataFrame:
-    """``(key, char_start)`` of the section openings, the strongest boundaries, of every text above the limit."""
+def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, whole: bool = False, texts: bool = True) -> DataFrame:
+    """``(key, piece, char_start, char_end, openings, text)``: ordered pieces of at most ``limit`` characters.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [openings(t) for t in batch.column(1).to_pylist()]
-            owner = [i for i, at in enumerate(found) for _ in at]
-            keys = batch.column(0).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([x for at in found for x in at], pa.int64())], ["key", "char_start"])
-
-    long = df.select(key, text).where(F.length(text) > longer_than)
-    kind = df.select(key).schema[0].dataType.simpleString()
-    return long.mapInArrow(run, f"key {kind}, char_start bigint").withColumnRenamed("key", key)
-
-
-def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, whole: bool = False) -> DataFrame:
-    """``(key, piece, char_start, char_end, text)``: ordered pieces of at most ``limit`` characters.
-
-    Each piece but the first begins with the last ``overlap`` characters of the one before it.
+    Each piece but the first begins with the last ``overlap`` characters of the one before it. ``openings`` are the
+    offsets in the whole text of the sections that open in the piece, each in the piece that has it beyond its overlap.
+    ``texts=False`` leaves the texts of the pieces out.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for k, t in zip(keys, batch.column(1).to_pylist()):
-                edges = [0, *cuts(t, limit, overlap), len(t)]
-                starts = [max(0, e - overlap) if i else 0 for i, e in enumerate(edges[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k] * len(starts), batch.schema.types[0]),
-                        pa.array(range(len(starts)), pa.int64()),
-                        pa.array(starts, pa.int64()),
-                        pa.array(edges[1:], pa.int64()),
-                        pa.array([t[s:e] for s, e in zip(starts, edges[1:])], pa.string()),
-                    ],
-                    ["key", "piece", "char_start", "char_end", "text"],
-                )
+            owner, number, starts, ends, found, parts, size = [], [], [], [], [], [], 0
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                kinds = boundaries(t) if len(t) > limit else [openings(t)]
+                edges = [0, *cuts(t, limit, overlap, kinds), len(t)]
+                for n, (a, b) in enumerate(zip(edges, edges[1:])):
+                    start = max(0, a - overlap) if n else 0
+                    owner.append(i)
+                    number.append(n)
+                    starts.append(start)
+                    ends.append(b)
+                    found.append(kinds[0][bisect_left(kinds[0], a) : bisect_left(kinds[0], b)])
+                    parts.append(t[start:b] if texts else None)
+                    size += b - start
+                if size > 4_000_000:
+                    yield made(batch, owner, number, starts, ends, found, parts)
+                    owner, number, starts, ends, found, parts, size = [], [], [], [], [], [], 0
+            if owner:
+                yield made(batch, owner, number, starts, ends, found, parts)
+
+    def made(batch: pa.RecordBatch, owner: list[int], number: list[int], starts: list[int], ends: list[int], found: list[list[int]], parts: list[str | None]) -> pa.RecordBatch:
+        whole_numbers = [pa.array(x, pa.int64()) for x in (number, starts, ends)]
+        cols = [batch.column(0).take(pa.array(owner, pa.int64())), *whole_numbers, pa.array(found, pa.list_(pa.int64())), pa.array(parts, pa.string())]
+        return pa.RecordBatch.from_arrays(cols, ["key", "piece", "char_start", "char_end", "openings", "text"])
 
     src = df.select(key, text).where(F.col(text).isNotNull() if whole else F.length(text) > limit)
     kind = df.select(key).schema[0].dataType.simpleString()
-    out = src.mapInArrow(run, f"key {kind}, piece bigint, char_start bigint, char_end bigint, text string")
-    return out.withColumnRenamed("key", key)
+    out = src.mapInArrow(run, f"key {kind}, piece bigint, char_start bigint, char_end bigint, openings array<bigint>, text string")
+    out = out.withColumnRenamed("key", key)
+    return out if texts else out.drop("text")
+
+
+def section_openings(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """``(key, char_start)`` of the section openings, the strongest boundaries, in the pieces of every text above the limit."""
+    return pieces(df, key, text, limit, overlap, texts=False).select(key, F.explode("openings").alias("char_start"))

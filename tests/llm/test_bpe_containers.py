@@ -53,11 +53,11 @@ def test_plan_holds_every_size():
         h = {s: r.randint(1, 50) for s in r.sample(range(1, 65), 20)}
         used = dict.fromkeys(h, 0)
         bins = 0
-        for pattern, count in plan(h, 64):
-            assert sum(s * n for s, n in pattern.items()) <= 64 and count > 0
-            bins += count
-            for s, n in pattern.items():
-                used[s] += n * count
+        for f in plan(h, (64,)):
+            assert f.used <= f.window == 64 and f.count > 0
+            bins += f.count
+            for s, n in f.pattern.items():
+                used[s] += n * f.count
         assert used == h
         rooms: list[int] = []
         for s in sorted((s for s, n in h.items() for _ in range(n)), reverse=True):
@@ -86,3 +86,31 @@ def test_fill(spark):
     assert fill_containers(spark.createDataFrame([], "doc_id bigint, n_tokens bigint"), "doc_id").count() == 0
     assert [x.container_id for x in fill_containers(spark.createDataFrame([(1, 0)], "doc_id bigint, n_tokens bigint"), "doc_id").collect()] == [0]
     assert spark.createDataFrame(rows).groupBy("step_group").agg(F.countDistinct("container_id").alias("n")).agg(F.max("n")).first()[0] <= 9
+    tokens: dict[int, int] = {}
+    for x in rows:
+        tokens[x.step_group] = tokens.get(x.step_group, 0) + x.n_tokens
+    assert max(tokens.values()) - min(tokens.values()) <= 100
+
+
+def test_windows(spark):
+    r = random.Random(4)
+    sizes = [(i, r.choice([3, 20, 45, 90, 150, 250])) for i in range(700)] + [(2000, 900), (2001, 0)]
+    rows = fill_containers(spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint"), "doc_id", windows=(64, 256)).collect()
+    held: dict[int, int] = {}
+    for x in rows:
+        held[x.container_id] = held.get(x.container_id, 0) + x.n_tokens
+    window = {x.container_id: x.window for x in rows}
+    assert all(n <= window[c] for c, n in held.items()) and set(window.values()) == {64, 256}
+    assert len({(x.container_id, x.window) for x in rows}) == len(window)
+    # a text is in a container of its window or a longer one
+    assert all(x.window == 256 for x in rows if x.n_tokens > 64) and sum(held.values()) == sum(n for _, n in sizes)
+    # item by item: the tightest gap of any container, else a new one of the shortest window that holds it
+    rooms: list[list[int]] = []
+    pieces = [min(256, n - at) for _, n in sizes for at in range(0, n, 256)]
+    for n in sorted(pieces, reverse=True):
+        gap = min((r for r in rooms if r[0] >= n), default=None)
+        if gap is None:
+            rooms.append([(64 if n <= 64 else 256) - n, 64 if n <= 64 else 256])
+        else:
+            gap[0] -= n
+    assert sum(window.values()) <= sum(w for _, w in rooms) + 256

@@ -72,6 +72,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicate_pairs(df.limit(0), "doc_id", "title", "text").count() == 0
 
 
+def test_a_hot_node_is_split(spark, monkeypatch):
+    # 900 texts open and go on alike, 20 pairs of versions lie among them; every text is in one node of most trees
+    from quillmesh.llm import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 50)
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(200)]
+    rows = [(i, None, " ".join(common + [f"w{r.randint(0, 10**6)}" for _ in range(190)])) for i in range(300)]
+    rows += [(1000 + i, None, rows[i][2].rsplit(" ", 3)[0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, title string, text string")
+    sets = {k: set(zip(w, w[1:], w[2:])) for k, t, x in rows if len(w := words(t, x)) >= 40}
+    wanted = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    got = {tuple(p) for p in near_duplicate_pairs(df, "doc_id", "title", "text", 0.6, 3).collect()}
+    assert got == wanted and len(wanted) >= 20
+
+
+def test_pairs_of_one_key(spark):
+    from quillmesh.llm.pairs import same_key_pairs
+
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i // 9}") for i in range(300)]
+    got = [tuple(r) for r in same_key_pairs(spark.createDataFrame(rows, "id bigint, k string"), "k", "id", block=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if x and x == y}
+
+
 def test_prefix_is_shortened_to_the_recall():
     d = prefix_length(0.6)
     assert 1 - (1 - 0.6**d) ** 48 >= 0.995 > 1 - (1 - 0.6 ** (d + 1)) ** 48
