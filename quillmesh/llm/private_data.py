@@ -76,12 +76,14 @@ _RUN = re.compile(
     rf"(?:(?:{_NEXT})+(?![\w@])|(?![\w@])(?=,))"
 )
 _COMMA_FIRST = re.compile(rf",{_GAP}({_CAP}(?:{_GAP}[A-ZÀ-ÖØ-Þ]\.)?)(?=\s*[,;.:)(]|{_GAP}[a-zà-ÿ(])")
+_PARTED = re.compile("['’-]")
 _SPACED = re.compile(r"\S+")
 _ANY = r"(?:[^\W\d_](?:\.|[^\W\d_]*(?:['’-][^\W\d_]+)*))"
 _LOWER = re.compile(rf"{_GAP}?({_ANY}(?:,?{_GAP}{_ANY}){{1,3}})")
 _LOWER_BEFORE = re.compile(rf"(?<![\w'’-])({_ANY}(?:,?{_GAP}{_ANY}){{1,3}}){_GAP}?$")
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_BLANKED = {i: " " for i in range(128) if not chr(i).isalpha() and chr(i) not in "'-"}  # what parts name words
+_ODD = re.compile(r"[^\x00-\x7f\w]|[^\x00-\x7f\D]")
+_LETTERS = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
 _LOWER_INITIAL = re.compile(rf"\.(?<=[^\W\d_A-Z].)(?<!\w..)(?:{_GAP}[^\W\d_]\.)*(?:{_GAP}({_NAME_WORD.pattern}))?")
 _BEFORE_INITIAL = re.compile(rf"({_NAME_WORD.pattern}),{_GAP}$")
 _NEXT_NAME = re.compile(rf"(?:,|;|{_GAP}(?:and|et|und|y)){_GAP}")
@@ -91,8 +93,13 @@ def _fold(tokens: list[str]) -> list[str]:
     return ["9" if t.isdigit() else t.lower() for t in tokens]
 
 
+_SHAPED = {i: "9" if chr(i).isdigit() else "A" for i in range(128) if chr(i).isalnum()}
+
+
 def shape(number: str) -> str:
-    return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", re.sub(r"\s+", " ", number)))
+    """Digits as 9, letters as A, blanks as one."""
+    plain = " ".join(number.split())
+    return plain.translate(_SHAPED) if plain.isascii() else re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", plain))
 
 
 class Candidate(NamedTuple):
@@ -341,6 +348,7 @@ class Model(NamedTuple):
     forms: frozenset[str] = frozenset()  # shapes of addresses
     placed: frozenset[str] = frozenset()  # contexts of addresses
     lefts: frozenset[str] = frozenset()  # the word before a name in its patterns, '' in those without one
+    given: frozenset[bytes] = frozenset()  # the first part of every given name
 
 
 class _Both:
@@ -375,6 +383,7 @@ def _model(entries: list[tuple[str, str, int, float, float]]) -> Model:
         frozenset(p[1:] for p in literal if p.startswith("|")),
         *(frozenset(p for _, p, *_ in of(kind)) for kind in ("sign", "mailed", "form", "placed")),
         frozenset(p.partition("|")[0].rpartition(" ")[2] for p in patterns),
+        frozenset(_PARTED.split(p)[0].encode() for _, p, *_ in of("first")),
     )
 
 
@@ -640,15 +649,15 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
 def _lower_anchors(text: str, model: Model) -> list[tuple[int, int]]:
     """Where given names in any case and initials stand, if a name in lower case may stand in the text: if it holds a given
     name in lower case, or an initial in lower case beside a last name."""
-    words = set((text.translate(_BLANKED) if text.isascii() else text).split())
-    for w in [w for w in words if not w.isalpha()]:
-        words.update(_NAME_WORD.findall(w))
-    if not (any(w in model.first for w in words) if isinstance(model.first, _Both) else not model.first.isdisjoint(words)):
+    # runs of letters, as bytes: quickly made and looked up; a part of a hyphened name counts as well
+    letters = (text if text.isascii() else _ODD.sub(" ", text)).encode().translate(_LETTERS).split()
+    if not (any(w in model.given for w in letters) if isinstance(model.given, _Both) else not model.given.isdisjoint(letters)):
         for m in _LOWER_INITIAL.finditer(text):
             if m[1] and _is_last(model, m[1]) or (b := _BEFORE_INITIAL.search(text, max(0, m.start() - 61), m.start() - 1)) and _is_last(model, b[1]):
                 break
         else:
             return []
+    words = set(_NAME_WORD.findall(text))
     given = sorted({re.escape(w) for w in words if w.lower() in model.first}, key=len, reverse=True)
     anchor = re.compile("|".join([rf"(?<![^\W\d_])(?:{'|'.join(given)})(?![^\W\d_])", r"(?<!\w)[^\W\d_]\."] if given else [r"(?<!\w)[^\W\d_]\."]))
     return [m.span() for m in anchor.finditer(text)]

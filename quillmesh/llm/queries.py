@@ -110,6 +110,15 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_misses": p3_misses, "p10_found": p10_found, "p10_redacted": p10_redacted, "p1_found": p1_found, "p1_pieces": p1_pieces, "p1_bounds": p1_bounds, "p9_windows": p9_windows, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_ids": p8_ids, "p9_containers": p9_containers}
 SQL: dict[str, str] = {
+    "p5_groups": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+c AS (SELECT doc_id, md5(array_to_string(w, ' ')) AS d, w FROM w WHERE len(w) >= 40), r AS (SELECT d, min(doc_id) AS rep, any_value(w) AS w FROM c GROUP BY d),
+s AS (SELECT rep, list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) AS s FROM r),
+u AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS i, any_value(a.n + b.n) AS n FROM u a JOIN u b ON a.t = b.t AND a.rep <> b.rep GROUP BY ALL HAVING count(*) / CAST(any_value(a.n + b.n) - count(*) AS DOUBLE) >= 0.8),
+g AS (SELECT rep AS node, rep AS comp FROM r UNION SELECT p.b, g.comp FROM g JOIN p ON p.a = g.node),
+k AS (SELECT node, min(comp) AS comp FROM g GROUP BY node), l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT d.doc_id, coalesce(k.comp, d.doc_id) AS group_id, coalesce(l.n, 0) AS n_links FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN r ON r.d = c.d LEFT JOIN k ON k.node = r.rep LEFT JOIN l ON l.a = r.rep""",
     "p1_bounds": "SELECT doc_id, CAST(0 AS BIGINT) AS first_start, length(text) AS last_end, true AS within, true AS overlapping, true AS unchanged FROM documents WHERE length(text) > 6000",
     "p4_found": """
 WITH r AS (SELECT ord, list_distinct(list_filter(list_transform(taxonomy_tags, lambda x: lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))),

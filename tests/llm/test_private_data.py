@@ -69,7 +69,7 @@ def test_lower_case_names_in_many_contexts(spark):
     assert found.select("doc_id").distinct().count() == 80
 
 
-NAMED = private_data.Model({}, {}, frozenset(), frozenset({"lena", "jo"}), frozenset({"smith"}), frozenset({"signed by"}), frozenset({"signed it"}))
+NAMED = private_data.Model({}, {}, frozenset(), frozenset({"lena", "jo"}), frozenset({"smith"}), frozenset({"signed by"}), frozenset({"signed it"}), given=frozenset({b"lena", b"jo"}))
 
 
 @pytest.mark.parametrize(
