@@ -11,30 +11,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import ratio
+from quillmesh.functions.text import ratio, split_list, strip
 from quillmesh.operators.entities import mentions, registry_terms
 from quillmesh.operators.legislators import areas, facts, party_mode
 from quillmesh.operators.orphans import id_number
 from quillmesh.operators.taxonomy import group_of, segment_tags
 
 
+def sponsor_bills(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(person, doc, area)``: the bills of every person, a row each; '' without an area."""
+    f = facts(rows).select("person", "doc").distinct().join(areas(documents), "doc", "left")
+    return f.select("person", "doc", F.coalesce("area", F.lit("")).alias("area"))
+
+
 def sponsor_summary(rows: DataFrame, documents: DataFrame, top: int = 3) -> DataFrame:
-    """Per person the number of bills, the ``top`` areas with counts, and the bills and their areas as aligned lists."""
-    f = facts(rows).select("person", "doc").distinct().join(areas(documents), "doc", "left").withColumn("area", F.coalesce("area", F.lit("")))
-    bills = F.array_sort(F.collect_list(F.struct("doc", "area")))
-    lists = f.groupBy("person").agg(F.count("*").alias("n_bills"), bills.alias("b"))
+    """Per person the number of bills and the ``top`` areas with counts; the bills themselves are ``sponsor_bills``."""
+    f = sponsor_bills(rows, documents)
+    bills = f.groupBy("person").agg(F.count("*").alias("n_bills"))
     counts = f.where("area <> ''").groupBy("person", "area").agg(F.count("*").alias("n"))
     w = Window.partitionBy("person").orderBy(F.desc("n"), "area")
     best = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     named = best.groupBy("person").agg(F.array_sort(F.collect_list(F.struct("rank", F.format_string("%s (%d)", "area", "n").alias("s")))).alias("t"))
-    joined = lambda arr, make, sep: F.array_join(F.transform(arr, make), sep)
-    return lists.join(named, "person", "left").select(
-        "person",
-        "n_bills",
-        F.coalesce(joined(F.col("t"), lambda x: x["s"], "; "), F.lit("")).alias("top_areas"),
-        joined(F.col("b"), lambda x: x["doc"].cast("string"), "|").alias("bills"),
-        joined(F.col("b"), lambda x: x["area"], "|").alias("bill_areas"),
-    )
+    joined = F.array_join(F.transform("t", lambda x: x["s"]), "; ")
+    return bills.join(named, "person", "left").select("person", "n_bills", F.coalesce(joined, F.lit("")).alias("top_areas"))
 
 
 def tag_party_alignment(segments: DataFrame, rows: DataFrame) -> DataFrame:
@@ -76,13 +75,18 @@ def person_entities(rows: DataFrame, records: DataFrame, least: int = 2) -> Data
 
 
 def link_groups(documents: DataFrame) -> DataFrame:
-    """Catalogue rows of one link: the first is canonical, blank links stand alone; tags of a group united."""
-    link = F.trim(F.coalesce("link", F.lit("")))
-    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
-    g = documents.where(link != "").groupBy(link.alias("link")).agg(
-        F.min("ord").alias("first_ord"), F.count("*").alias("n_rows"), F.size(F.array_distinct(F.flatten(F.collect_list(tags)))).alias("n_tags")
-    )
-    return g.where("n_rows > 1")
+    """Catalogue rows of one link: the first is canonical, blank links stand alone; distinct tags of a group counted."""
+    linked = documents.select(F.trim(F.coalesce("link", F.lit(""))).alias("link"), "ord", "tags").where("link <> ''")
+    g = linked.groupBy("link").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n_rows")).where("n_rows > 1")
+    tags = linked.join(g.select("link"), "link", "left_semi").select("link", F.explode(split_list(F.col("tags"))).alias("t")).distinct()
+    return g.join(tags.groupBy("link").agg(F.count("*").cast("int").alias("n_tags")), "link", "left").select("link", "first_ord", "n_rows", F.coalesce("n_tags", F.lit(0)).alias("n_tags"))
+
+
+def link_group_tags(documents: DataFrame) -> DataFrame:
+    """``(link, tag)``: the tags of a group of several rows, united."""
+    linked = documents.select(F.trim(F.coalesce("link", F.lit(""))).alias("link"), "tags").where("link <> ''")
+    several = linked.groupBy("link").agg(F.count("*").alias("n")).where("n > 1").select("link")
+    return linked.join(several, "link", "left_semi").select("link", F.explode(split_list(F.col("tags"))).alias("tag")).distinct()
 
 
 def department_histogram(names: DataFrame, name: str, keywords: list[str]) -> DataFrame:
@@ -127,19 +131,30 @@ def dismiss(queue: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merged_records(records: DataFrame) -> DataFrame:
-    """The mentions of all records of a document merged: one per kind and lower-case name, the first kept; a name that is
-    part of a longer one of its kind is left to that one."""
+    """The mentions of all records of a document merged: one per kind and lower-case name, the first kept.
+
+    A name that the document's disambiguations list as a phrase gives way to a longer name of its kind that holds it;
+    other names stay, whatever holds them.
+    """
     m = mentions(records).withColumn("low", F.lower(F.trim("name")))
     first = m.groupBy("doc", "kind", "low").agg(F.min_by("name", F.struct("record_id", "pos")).alias("name"), F.count("*").alias("n"))
-    per = F.collect_set("low").over(Window.partitionBy("doc", "kind"))
-    inside = F.exists("all", lambda x: (x != F.col("low")) & x.contains(F.col("low")))
-    return first.withColumn("all", per).where(~inside).select("doc", "kind", "name", "n")
+    phrases = records.select(F.trim("doc_id").alias("doc"), F.explode(F.map_keys("disambiguation_updates")).alias("low"))
+    phrases = phrases.select("doc", F.lower(F.trim("low")).alias("low")).distinct()
+    bare = first.join(phrases, ["doc", "low"], "left_semi").select(F.col("doc").alias("d"), F.col("kind").alias("k"), F.col("low").alias("short"))
+    held = bare.join(first, (F.col("d") == F.col("doc")) & (F.col("k") == F.col("kind")) & (F.col("short") != F.col("low")) & F.col("low").contains(F.col("short")))
+    held = held.select(F.col("d").alias("doc"), F.col("k").alias("kind"), F.col("short").alias("low")).distinct()
+    return first.join(held, ["doc", "kind", "low"], "left_anti").select("doc", "kind", "name", "n")
 
 
 def budgeted_context(lines: DataFrame, group: str, line: str, order: str, budget: int = 6000) -> DataFrame:
-    """The first lines of every group whose lengths, with line ends, stay within the budget; it stops at the first too many."""
+    """The first lines of every group whose lengths, with line ends, stay within the budget; it stops at the first too many.
+
+    As a line takes a character at least, only the first ``budget`` of a group can count: they are ranked, which drops the
+    others before the shuffle, and only then summed.
+    """
     w = Window.partitionBy(group).orderBy(order, line)
-    run = lines.withColumn("length", F.sum(F.length(line) + 1).over(w)).where(F.col("length") <= budget)
+    first = lines.withColumn("k", F.row_number().over(w)).where(F.col("k") <= budget)
+    run = first.withColumn("length", F.sum(F.length(line) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("length") <= budget)
     return run.groupBy(group).agg(F.count("*").alias("n_lines"), F.max("length").alias("n_chars"))
 
 
@@ -199,23 +214,65 @@ def extract(texts: DataFrame, key: str, text: str, extractor: Extractor) -> Data
 
 def pre_resolve(texts: DataFrame, key: str, text: str, registry: DataFrame, at_most: int = 100_000) -> DataFrame:
     """Entries of a (small, checked) registry named in each text, at their first place."""
-    rows = registry_terms(registry).where(F.length("term") > 3).groupBy("term").agg(F.max_by("entity_id", F.struct("confidence", -F.col("ord"))).alias("e")).limit(at_most + 1).collect()
+    named = F.lower(F.trim("canonical_name")) == F.col("term")
+    short = F.lower(F.trim(F.coalesce("acronym", F.lit("")))) == F.col("term")
+    terms = registry_terms(registry).join(registry.select("entity_id", "canonical_name", "acronym"), "entity_id").where(named | short & (F.length("term") >= 2) | (F.length("term") >= 3))
+    rows = terms.groupBy("term").agg(F.max_by("entity_id", F.struct("confidence", -F.col("ord"))).alias("e")).limit(at_most + 1).collect()
     if len(rows) > at_most:
         raise ValueError(f"more than {at_most} registry terms")
     return extract(texts, key, text, TermScan({r.term: r.e for r in rows}))
 
 
-# fixed values: words after which free text goes on from a name to a remark
-BOUNDARIES = [" because ", " since ", " which ", " who ", " where ", " as defined ", " (", "; ", ", as ", ", which ", " - "]
-PREAMBLES = r"^(?:refers to|means|resolves to|likely|probably|the canonical name is|same as|i\.e\.,?)\s+"
+# fixed values: how a remark that names no entity begins; what may lead a name, in this order; where a name ends, in this
+# order; beginnings that are no name
+SKIPPED = ["not referenced", "already established", "defined in subsection", "defined in sec"]
+PREAMBLES = [
+    r"Explicitly\s+defined\s+as\s+", r"Extracted\s+in\s+context\s+of\s+", r"Resolved\s+to\s+", r"Confirmed\s+as\s+",
+    r"Identified\s+as\s+", r"Refers\s+to\s+(the\s+)?",
+]
+BOUNDARIES = [
+    " per SEC", " per Section", " per subsection", " per document", " per context", " per explicit", " per (",
+    " in SEC.", " in context of", " in this section",
+    " inferred from", " based on context", " based on jurisdiction",
+    " as the ", " as established", " as explicitly",
+    " (context-dependent)", " (standard ", " (distinct from",
+    " (established ", " (defined ", " (per ",
+    " (inferred ", " (consistent ",
+    " — ", " – ", " - confirmed", " - inferred",
+    "; ", " already established",
+    ", appointed by", ", acting through",
+    " with specific authorit", " responsible for",
+    " under the ", " under this ",
+]
+NO_NAME = ["enforcement", "authority", "role ", "refers ", "confirmed ", "explicitly ", "identified ", "not ", "received ", "receives "]
+QUOTED = r"""^.*?['"].*?['"].*?\brefers\s+to\s+(.+)"""
+QUOTES = r"'\"‘’“”"
+NOISE = r"\s*\(used\s+\d+\s+times.*?\)\s*$"
+EITHER = r"[A-Z][a-z]+(?:\s+[A-Za-z]+)*\s+or\s+[A-Z][a-z]+"
 
 
 def canonical_name(c: Column) -> Column:
-    """The name at the start of a remark such as 'refers to the X Board, as defined in ...'; NULL if none is left."""
-    t = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "(?i)" + PREAMBLES, "")
-    t = F.split(t, "|".join(re.escape(b) for b in BOUNDARIES), 2)[0]
-    t = F.regexp_replace(F.trim(t), r"^(?i:the )|[.\s]+$", "")
-    return F.when((F.length(t) >= 3) & (F.length(t) <= 120) & t.rlike("[A-Za-z]"), t)
+    """The name of the entity that a remark such as 'Confirmed as the X Board per SEC. 4' means; NULL if it names none,
+    two, or something that is no name. A NULL or blank remark gives NULL."""
+    text = strip(F.coalesce(c, F.lit("")))
+    low = F.lower(text)
+    skipped = text == ""
+    for p in SKIPPED:
+        skipped = skipped | low.startswith(p)
+    bare = text
+    for p in PREAMBLES:
+        bare = F.regexp_replace(bare, "(?iU)^" + p, "")
+    quoted = text.rlike("(?idU)" + QUOTED)
+    named = F.when(quoted, strip(F.regexp_extract(text, "(?idU)" + QUOTED, 1))).otherwise(bare)
+    named = F.regexp_replace(named, f"^[{QUOTES}]+", "")
+    cut = lambda t, b: F.when(F.position(F.lower(b), F.lower(t)) > 1, F.substring(t, F.lit(1), F.position(F.lower(b), F.lower(t)) - 1)).otherwise(t)
+    named = F.aggregate(F.array(*[F.lit(b) for b in BOUNDARIES]), named, cut)
+    named = F.regexp_replace(named, "(?idU)" + NOISE, "")
+    named = strip(F.regexp_replace(named, rf"(?U)[{QUOTES},.\-\s]+$", ""))
+    good = ~skipped & ~named.rlike("(?U)" + EITHER) & (F.length(named) >= 4) & named.rlike(r"\p{Lu}")
+    for p in NO_NAME:
+        good = good & ~F.lower(named).startswith(p)
+    return F.when(good, named)
 
 
 def fingerprints(rows: DataFrame, segments: DataFrame, least: int = 3, every: int = 1) -> DataFrame:

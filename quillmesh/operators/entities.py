@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.ids import entity_id
-from quillmesh.functions.text import plain_name, ratio
+from quillmesh.functions.text import plain_name, ratio, strip
 
 LISTS = ("organizations", "offices", "roles")
 
@@ -95,18 +95,50 @@ def bare_aliases(records: DataFrame, registry: DataFrame, generic: list[str]) ->
     return resolve(m.select("doc", "kind", "name"), registry_terms(registry)).groupBy("kind", "name", "entity_id").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("n_docs"))
 
 
+# fixed value: names shorter than this are less sure
+SHORT_NAME = 8
+
+
 def confidence(known: Column, in_memory: Column, acronym: Column, name: Column, conflict: Column) -> Column:
     """0.5, +0.3 in the registry, +0.1 in memory, +0.1 with acronym, -0.2 for a short name, -0.3 for a type conflict; in [0, 1]."""
     add = lambda c, v: F.when(c, v).otherwise(0.0)
-    score = 0.5 + add(known, 0.3) + add(in_memory, 0.1) + add(acronym, 0.1) - add(F.length(F.trim(name)) < 5, 0.2) - add(conflict, 0.3)
+    score = 0.5 + add(known, 0.3) + add(in_memory, 0.1) + add(acronym, 0.1) - add(F.length(strip(name)) < SHORT_NAME, 0.2) - add(conflict, 0.3)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
 
 
-def scored(records: DataFrame, registry: DataFrame) -> DataFrame:
+def scored(records: DataFrame, registry: DataFrame, roster: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Mentions with their entry, confidence and, under 0.5, the reasons.
+
+    ``roster`` has the ``(kind, name)`` in memory; a name is in memory if it or the name of its entry is there. An entry of
+    the index counts whatever its type; only ``rules`` ``(pattern, entity_id)`` are bound to one, so a type conflict is a
+    name that the rules alone know, under another type.
+    """
+    low = lambda c: F.lower(F.trim(c))
     m = mentions(records).select("record_id", "kind", "pos", "name")
-    acronyms = registry.where(F.trim(F.coalesce("acronym", F.lit(""))) != "").select(F.lower(F.trim("canonical_name")).alias("low")).distinct().withColumn("has", F.lit(True))
-    r = resolve(m, registry_terms(registry)).join(acronyms, F.lower(F.trim("name")) == F.col("low"), "left")
-    return r.select("record_id", "kind", "pos", "name", "entity_id", confidence(F.col("entity_id").isNotNull(), F.lit(False), F.coalesce("has", F.lit(False)), F.col("name"), F.lit(False)).alias("confidence"))
+    entries = registry.select("entity_id", low("canonical_name").alias("full"), (F.trim(F.coalesce("acronym", F.lit(""))) != "").alias("has"), F.col("entity_type").alias("type"))
+    r = resolve(m, registry_terms(registry)).join(entries, "entity_id", "left")
+    if rules is not None:
+        by_rule = rules.select(low("pattern").alias("phrase"), F.col("entity_id").alias("rule_id")).join(
+            entries.toDF("rule_id", "rule_full", "rule_has", "rule_type"), "rule_id"
+        )
+        first = by_rule.groupBy("phrase").agg(*[F.max_by(c, "rule_id").alias(c) for c in ("rule_id", "rule_full", "rule_has", "rule_type")])
+        r = r.join(first, low("name") == F.col("phrase"), "left")
+        fits = F.col("entity_id").isNull() & (F.col("rule_type") == F.col("kind"))
+        conflict = F.coalesce(F.col("entity_id").isNull() & (F.col("rule_type") != F.col("kind")), F.lit(False))
+        r = r.withColumn("conflict", conflict).withColumns(
+            {c: F.when(fits, F.col(f"rule_{x}")).otherwise(F.col(c)) for c, x in (("entity_id", "id"), ("full", "full"), ("has", "has"))}
+        )
+    else:
+        r = r.withColumn("conflict", F.lit(False))
+    known = roster.select("kind", low("name").alias("k")).where("k <> ''").distinct()
+    r = r.join(known.select("kind", F.col("k").alias("own"), F.lit(True).alias("by_own")), (r["kind"] == known["kind"]) & (low("name") == F.col("own")), "left").drop(known["kind"])
+    r = r.join(known.select(F.col("kind").alias("kind_f"), F.col("k").alias("k_full"), F.lit(True).alias("by_full")), (F.col("kind") == F.col("kind_f")) & (F.col("full") == F.col("k_full")), "left")
+    in_memory = F.coalesce("by_own", "by_full", F.lit(False))
+    found = F.col("entity_id").isNotNull()
+    score = confidence(found, in_memory, F.coalesce("has", F.lit(False)), F.col("name"), F.col("conflict"))
+    reasons = F.concat_ws(", ", F.when(F.length(strip(F.col("name"))) < SHORT_NAME, "short_name"), F.when(F.col("conflict"), "type_conflict"), F.when(~found, "not_in_registry"))
+    reason = F.when(score < 0.5, F.when(reasons == "", "low_base_score").otherwise(reasons))
+    return r.select("record_id", "kind", "pos", "name", "entity_id", score.alias("confidence"), reason.alias("reason"))
 
 
 def evaluate_exact(predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -118,42 +150,6 @@ def evaluate_exact(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return c.select("kind", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
-def evaluate_fuzzy(predicted: DataFrame, gold: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """tp, fp, fn per kind: each predicted name, in order, takes the first free gold name that is equal or alike enough.
-
-    An earlier gold name that is alike wins over a later equal one. The lists of one document are the unit.
-    """
-    import pandas as pd
-
-    def lists(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("doc", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", plain_name(F.col("name")).alias("n")))), lambda x: x["n"]).alias(name))
-
-    def alike(a: str, b: str) -> float:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return 1 - row[-1] / max(len(a), len(b), 1)
-
-    def match(batches):
-        for pdf in batches:
-            out = []
-            for kind, p, g in zip(pdf.kind, pdf.p, pdf.g):
-                free, tp = list(g if g is not None else []), 0
-                p = list(p if p is not None else [])
-                for n in p:
-                    hit = next((i for i, m in enumerate(free) if n == m or alike(n, m) >= threshold), None)
-                    if hit is not None:
-                        free.pop(hit)
-                        tp += 1
-                out.append((kind, tp, len(p) - tp, len(free)))
-            yield pd.DataFrame(out, columns=["kind", "tp", "fp", "fn"])
-
-    j = lists(predicted, "p").join(lists(gold, "g"), ["doc", "kind"], "full").select("kind", "p", "g")
-    return j.mapInPandas(match, "kind string, tp bigint, fp bigint, fn bigint").groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-
-
 def memory(records: DataFrame) -> DataFrame:
     """Disambiguations folded over the records in order: the first value of a phrase wins; how often it was given."""
     d = records.select("record_id", F.explode("disambiguation_updates").alias("phrase", "meaning"))
@@ -168,28 +164,44 @@ def graduates(records: DataFrame, times: int = 5) -> DataFrame:
     return n.where(F.col("n") >= times).withColumn("confidence", F.least(F.lit(0.95), 0.6 + 0.05 * F.col("n")))
 
 
+# fixed values: what opens a section and a sub-section, with the blank lines before it
+SECTION = r"(?dimU)^([\s\x1c-\x1f]*SEC(?:TION)?\.?[\s\x1c-\x1f]+\d+[A-Z]?\.)"
+SUBSECTION = r"(?dmU)^([\s\x1c-\x1f]*\([a-z]\))"
+_MARK = "\uffff\ufffe\uffff"  # noncharacters, which no text holds
+
+
 def sections(texts: DataFrame, key: str, text: str, limit: int = 6000) -> DataFrame:
-    """``(key, chunk, text)``: texts cut before lines that open with ``SEC. n.`` or ``SECTION n.``; longer parts are packed
-    by ``(a)`` sub-sections and, failing that, cut at the limit. Blank chunks are dropped."""
-    opened = F.split(F.col(text), r"(?dimU)(?=^\s*SEC(?:TION)?\.?\s+\d+[A-Z]?\.)")
-    trimmed = F.filter(F.transform(opened, lambda x: F.trim(x)), lambda x: x != "")
-    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / limit)), lambda i: F.substring(s, i * limit + 1, F.lit(limit)))
+    """``(key, chunk, text)``: a text within the limit whole; others cut before the lines that open a section.
+
+    A part beyond the limit is packed from its sub-sections ``(a)``, one of which may itself exceed the limit; a part
+    without sub-sections, or with one at its very start only, is cut at the limit. Parts are stripped, blank ones dropped.
+    """
+
+    def cut(part: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.length(part) - 1) / limit)), lambda i: strip(F.substring(part, i * limit + 1, F.lit(limit))))
 
     def pack(part: Column) -> Column:
-        subs = F.split(part, r"(?m)(?=^\s*\([a-z]\))")
+        subs = F.split(F.regexp_replace(part, SUBSECTION, _MARK + "$1"), _MARK)
+        subs = F.filter(subs, lambda s: s != "")
         start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-        fold = F.aggregate(
+        full = lambda acc, s: (F.length(acc["open"]) + F.length(s) > limit) & (acc["open"] != "")
+        folded = F.aggregate(
             subs,
             start,
-            lambda acc, s: F.when(F.length(acc["open"]) + F.length(s) <= limit, F.struct(acc["done"].alias("done"), F.concat(acc["open"], s).alias("open"))).otherwise(
-                F.struct(F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), s.alias("open"))
+            lambda acc, s: F.when(full(acc, s), F.struct(F.concat(acc["done"], F.array(strip(acc["open"]))).alias("done"), s.alias("open"))).otherwise(
+                F.struct(acc["done"].alias("done"), F.concat(acc["open"], s).alias("open"))
             ),
-            lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]),
+            lambda acc: F.concat(acc["done"], F.array(strip(acc["open"]))),
         )
-        return F.flatten(F.transform(fold, lambda s: F.when(F.length(s) > limit, cut(s)).otherwise(F.array(s))))
-
-    chunks = F.flatten(F.transform(trimmed, lambda p: F.when(F.length(p) > limit, pack(p)).otherwise(F.array(p))))
-    return texts.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(key, F.posexplode(chunks).alias("chunk", "text"))
+        return F.when(F.size(subs) < 2, cut(part)).otherwise(folded)
+
+    whole = F.col(text)
+    opened = F.split(F.regexp_replace(whole, SECTION, _MARK + "$1"), _MARK)
+    parts = F.filter(F.transform(opened, strip), lambda p: p != "")
+    several = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > limit, pack(p)).otherwise(F.array(p))))
+    long = F.when(F.size(opened) > 1, several).otherwise(pack(whole))
+    chunks = F.when(F.length(whole) <= limit, F.array(whole)).otherwise(F.filter(long, lambda c: c != ""))
+    return texts.where(F.length(text) > 0).select(key, F.posexplode(chunks).alias("chunk", "text"))
 
 
 def soft_aliases(texts: DataFrame, key: str, text: str, phrase: str) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from quillmesh.functions.ids import node_id
 from quillmesh.functions.text import split_list, squeeze
 from quillmesh.operators.orphans import id_number
+from quillmesh.session import materialize
 
+# fixed values: weights of relations and what a hop costs
 DEFAULT_WEIGHTS = {"HAS_TOPIC": 1.0, "HAS_TAG": 0.85, "HAS_SEGMENT": 0.75, "IN_COLLECTION": 0.65, "UNDER_AUTHORITY": 0.55}
 HOP_DECAY = 0.7
 
@@ -144,24 +146,27 @@ def neighborhood(
     forward = used.select(F.col("src_id").alias("at"), "relation", F.col("dst_id").alias("to"), F.lit(0).alias("turn"), "edge_order")
     backward = used.select(F.col("dst_id").alias("at"), "relation", F.col("src_id").alias("to"), F.lit(1).alias("turn"), "edge_order")
     steps = {"out": forward, "in": backward, "both": forward.unionByName(backward)}[direction]
-    path_type = "array<struct<from:string,relation:string,to:string>>"
     order_type = "array<struct<turn:int,edge_order:struct<stage:int,ord:bigint,sub:int>>>"
-    frontier = nodes.where(F.col("node_id") == seed).select(
-        F.col("node_id").alias("at"), F.array().cast(path_type).alias("path"), F.array().cast(order_type).alias("trail")
-    )
-    seen, found = frontier.select(F.col("at").alias("to")), None
+    steps = steps.where("at <> to")
+    frontier = nodes.where(F.col("node_id") == seed).select(F.col("node_id").alias("at"), F.array().cast(order_type).alias("trail"), F.lit(None).cast("string").alias("via"))
+    reached = []
     for hop in range(1, max_hops + 1):
-        reached = frontier.join(steps, "at").select(
-            "to",
-            F.concat("path", F.array(F.struct(F.col("at").alias("from"), "relation", F.col("to").alias("to")))).alias("path"),
+        # only the node before and the relation travel with a step; paths are put together for the rows that are kept
+        onward = frontier.join(steps, "at").select(
+            "to", F.col("at").alias("before"), "relation", F.coalesce("via", "relation").alias("via"),
             F.concat("trail", F.array(F.struct("turn", F.col("edge_order").cast("struct<stage:int,ord:bigint,sub:int>").alias("edge_order")))).alias("trail"),
-        )
-        fresh = reached.join(seen, "to", "left_anti").groupBy("to").agg(F.min_by("path", "trail").alias("path"), F.min("trail").alias("trail"))
-        here = fresh.withColumn("hop_distance", F.lit(hop))
-        found = here if found is None else found.unionByName(here)
-        seen = seen.union(fresh.select("to"))
-        frontier = fresh.select(F.col("to").alias("at"), "path", "trail")
-    via = F.col("path")[0]["relation"]
+        )
+        for earlier in reached:
+            onward = onward.join(earlier.select("to"), "to", "left_anti")
+        step = F.struct("before", "relation", "via")
+        here = onward.where(F.col("to") != seed).groupBy("to").agg(F.min_by(step, "trail").alias("s"), F.min("trail").alias("trail"))
+        here = materialize(here.select("to", "s.before", "s.relation", "s.via", "trail").withColumn("hop_distance", F.lit(hop)), "hop")
+        reached.append(here)
+        frontier = here.select(F.col("to").alias("at"), "trail", "via")
+    found = reached[0]
+    for here in reached[1:]:
+        found = found.unionByName(here)
+    via = F.col("via")
     base = F.lit(0.5)
     for relation, w in (DEFAULT_WEIGHTS | (weights or {})).items():
         base = F.when(via == relation, w).otherwise(base)
@@ -172,52 +177,24 @@ def neighborhood(
         "hop_distance",
         via.alias("via_relation"),
         F.round(base * F.pow(F.lit(hop_decay), F.col("hop_distance") - 1), 8).alias("rank_score"),
-        "path",
-    )
+        "before", F.col("relation").alias("last_relation"),
+    )
     if node_types:
         rows = rows.where(F.col("node_type").isin(*node_types))
     keys = ["hop_distance", "node_type", "node_id"]
-    return rows.orderBy(*([F.desc("rank_score")] if ranked else []), *keys).limit(limit)
+    order = [*([F.desc("rank_score")] if ranked else []), *keys]
+    # at most `limit` rows: their paths are followed back, one small join a hop
+    kept = rows.orderBy(*order).limit(limit)
+    last = F.struct(F.col("before").alias("from"), F.col("last_relation").alias("relation"), F.col("node_id").alias("to"))
+    kept = kept.withColumn("path", F.array(last)).withColumn("at", F.when(F.col("hop_distance") > 1, F.col("before")))
+    for hop in range(max_hops - 1, 0, -1):
+        back = reached[hop - 1].select(F.col("to").alias("b_to"), F.col("before").alias("b_from"), F.col("relation").alias("b_relation"))
+        due = F.col("at").isNotNull() & (F.size("path") == F.col("hop_distance") - hop)
+        kept = kept.join(back, due & (F.col("at") == F.col("b_to")), "left")
+        one = F.struct(F.col("b_from").alias("from"), F.col("b_relation").alias("relation"), F.col("b_to").alias("to"))
+        kept = kept.withColumn("path", F.when(F.col("b_to").isNotNull(), F.concat(F.array(one), "path")).otherwise(F.col("path"))).withColumn("at", F.coalesce("b_from", "at")).drop("b_to", "b_from", "b_relation")
+    return kept.drop("before", "last_relation", "at").orderBy(*order)
 
 
 def hop_counts(neighbors: DataFrame) -> DataFrame:
     return neighbors.groupBy("hop_distance").agg(F.count("*").alias("n"))
-
-
-# fixed values: entity lists of a record with their relation
-ENTITY_RELATIONS = {"organizations": "MENTIONS_ORG", "offices": "MENTIONS_OFFICE", "roles": "MENTIONS_ROLE"}
-
-
-def entity_layer(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the entity layer: the last record of a document, entities under their slug."""
-    from quillmesh.functions.ids import entity_id
-
-    last = records.where(F.trim(F.coalesce("doc_id", F.lit(""))) != "").groupBy(F.trim("doc_id").alias("doc")).agg(F.max_by(F.struct("organizations", "offices", "roles"), "record_id").alias("r"))
-    parts = None
-    for i, (kind, relation) in enumerate(ENTITY_RELATIONS.items()):
-        field = "title" if kind == "roles" else "name"
-        part = last.select("doc", F.posexplode(f"r.{kind}").alias("pos", "e")).select(
-            "doc", F.lit(i).alias("list"), "pos", F.lit(kind).alias("kind"), F.lit(relation).alias("relation"), F.col(f"e.{field}").alias("name")
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    named = parts.where(F.trim(F.coalesce("name", F.lit(""))) != "").withColumn("entity", entity_id(F.col("name"), F.col("kind")))
-    nodes = named.groupBy(F.col("entity").alias("node_id")).agg(
-        F.min_by("kind", F.struct("doc", "list", "pos")).alias("node_type"), F.min_by("name", F.struct("doc", "list", "pos")).alias("label")
-    )
-    documents = named.select(node_id("document", F.col("doc")).alias("node_id"), F.lit("Document").alias("node_type"), F.col("doc").alias("label")).distinct()
-    edges = named.select(node_id("document", F.col("doc")).alias("src_id"), "relation", F.col("entity").alias("dst_id"))
-    return nodes.unionByName(documents), edges
-
-
-def combine_layers(layers: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Nodes of all layers, the first layer's attributes first and blanks filled by later ones; all edges, none merged."""
-    nodes = edges = None
-    for i, (name, (n, e)) in enumerate(layers.items()):
-        n = n.select("node_id", "node_type", "label", F.lit(i).alias("rank"))
-        e = e.select("src_id", "relation", "dst_id").withColumn("layer", F.lit(name))
-        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
-
-    def first(c: str) -> Column:
-        return F.min_by(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("rank"))).alias(c)
-
-    return nodes.groupBy("node_id").agg(first("node_type"), first("label")), edges

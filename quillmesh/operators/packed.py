@@ -28,6 +28,39 @@ def _sets(delimiters: str) -> str:
     return "[" + "".join("\\" + c if c in "[]\\^-|" else c for c in delimiters) + "]"
 
 
+def _quoted(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def _trie(names: Iterable[str]) -> str:
+    """A pattern of the names, the longest first, in which names share their beginnings: one path is tried, not every name."""
+    root: dict = {}
+    for n in names:
+        node = root
+        for c in n:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def build(node: dict) -> str:
+        parts = []
+        for c in sorted(k for k in node if k):
+            text, child = c, node[c]
+            while len(child) == 1 and "" not in child:
+                (c, child), = child.items()
+                text += c
+            parts.append(_quoted(text) + build(child))
+        if not parts:
+            return ""
+        return "(?:" + "|".join(parts) + ")" + ("?" if "" in node else "")
+
+    return build(root)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often and deep it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def span_pattern(names: Iterable[str] = (), delimiters: str = DELIMITERS) -> str:
     """Whole items that must not be split: quoted with doubled or escaped marks inside, or one of ``names``."""
     d = _sets(delimiters)
@@ -36,7 +69,7 @@ def span_pattern(names: Iterable[str] = (), delimiters: str = DELIMITERS) -> str
         r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'",
     ]
     held = sorted({n.strip() for n in names if n and set(n) & set(delimiters)}, key=lambda n: (-len(n), n))
-    alternatives += ["(?iu:" + "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in held) + ")"] if held else []
+    alternatives += ["(?iu:" + _trie(held) + ")"] if held else []
     return rf"(?:^|(?<={d})){_BLANK}(?:{'|'.join(alternatives)})(?={_BLANK}(?:{d}|$))"
 
 
@@ -63,17 +96,9 @@ def packed_items(field: Column, names: Iterable[str] = (), delimiters: str = DEL
     pattern = span_pattern(names, delimiters)
     safe = F.replace(field, F.lit(_OPEN), F.lit(_OPEN + "e"))
     safe = F.when(safe.rlike(r"(?s)^\s*\[.*\]\s*$"), F.regexp_replace(safe, r"^\s*\[|\]\s*$", "")).otherwise(safe)
-    spans = F.regexp_extract_all(safe, F.lit(pattern), F.lit(0))
-    masked = F.array_join(
-        F.transform(
-            F.split(safe, pattern, -1),
-            lambda p, i: F.when(i > 0, F.concat(F.lit(_OPEN), (i - 1).cast("string"), F.lit(_CLOSE), p)).otherwise(p),
-        ),
-        "",
-    )
 
-    def restore(item: Column) -> Column:
-        return F.array_join(
+    def restore(item: Column, spans: Column) -> Column:
+        back = F.array_join(
             F.transform(
                 F.split(item, rf"(?={_OPEN}[0-9])|(?<={_CLOSE})", -1),
                 lambda t: F.when(
@@ -82,12 +107,23 @@ def packed_items(field: Column, names: Iterable[str] = (), delimiters: str = DEL
             ),
             "",
         )
+        return F.when(item.contains(_OPEN), back).otherwise(item)
 
-    items = F.transform(
-        F.split(masked, _sets(delimiters), -1),
-        lambda x: F.replace(_strip(_unquote(_strip(restore(x)))), F.lit(_OPEN + "e"), F.lit(_OPEN)),
-    )
-    return F.filter(items, lambda x: x != "")
+    def masked(text: Column) -> Column:
+        """The text with placeholders, and its spans."""
+        parts = F.transform(
+            F.split(text, pattern, -1),
+            lambda p, i: F.when(i > 0, F.concat(F.lit(_OPEN), (i - 1).cast("string"), F.lit(_CLOSE), p)).otherwise(p),
+        )
+        return F.struct(F.array_join(parts, "").alias("text"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("spans"))
+
+    def items(m: Column) -> Column:
+        return F.transform(
+            F.split(m["text"], _sets(delimiters), -1),
+            lambda x: F.replace(_strip(_once(_strip(restore(x, m["spans"])), _unquote)), F.lit(_OPEN + "e"), F.lit(_OPEN)),
+        )
+
+    return F.filter(_once(_once(safe, masked), items), lambda x: x != "")
 
 
 def split_packed(

@@ -51,3 +51,12 @@ def fragment(markdown: str) -> str:
 
 def page(title: str, sections: list[str]) -> str:
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{''.join(sections)}</body></html>"
+
+
+def dashboard(title: str, wanted: list[str], figures: dict[str, str]) -> tuple[str, list[str]]:
+    """A page of the wanted figures (HTML by name) in order, and the names of those that are missing, which it lists too."""
+    missing = [n for n in wanted if n not in figures]
+    parts = [f"<section id='{escape(n.lower().replace(' ', '-'))}'><h2>{escape(n)}</h2>{figures[n]}</section>" for n in wanted if n in figures]
+    if missing:
+        parts.append("<section><h2>Missing</h2><ul>" + "".join(f"<li>{escape(n)}</li>" for n in missing) + "</ul></section>")
+    return page(title, parts), missing

@@ -67,22 +67,28 @@ def coverage(documents: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("n"), *[has(c).alias(f"with_{c}") for c in fields])
 
 
-def signature(grouped: DataFrame, share: float = 0.4, label: int = 3) -> DataFrame:
-    """Of groups ``(grp, member, tag)``: the ``label`` most frequent tags and the tags of at least ``share`` of the members."""
-    size = grouped.groupBy("grp").agg(F.countDistinct("member").alias("size"))
+def signature(grouped: DataFrame, share: float = 0.4, label: int = 3, sizes: DataFrame | None = None) -> DataFrame:
+    """Of groups ``(grp, member, tag)``: the ``label`` most frequent tags and the tags of at least ``share`` of the members.
+
+    ``sizes`` ``(grp, size)`` also counts members without a tag."""
+    size = grouped.groupBy("grp").agg(F.countDistinct("member").alias("size")) if sizes is None else sizes
     n = grouped.groupBy("grp", "tag").agg(F.countDistinct("member").alias("n"))
     w = Window.partitionBy("grp").orderBy(F.desc("n"), "tag")
     r = n.join(size, "grp").withColumn("rank", F.row_number().over(w))
     by_tag = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("rank", "tag")))), lambda x: x["tag"])
-    return r.groupBy("grp").agg(F.first("size").alias("size"), F.array_join(by_tag(F.col("rank") <= label), " / ").alias("label"), by_tag(F.col("n") >= share * F.col("size")).alias("signature"))
+    return r.groupBy("grp").agg(F.first("size").alias("size"), F.coalesce(F.nullif(F.array_join(by_tag(F.col("rank") <= label), " | "), F.lit("")), F.lit("General")).alias("label"), by_tag(F.col("n") >= share * F.col("size")).alias("signature"))
+
 
+def jaccard_pairs(members: DataFrame, threshold: float = 0.25, queries: str | None = None) -> DataFrame:
+    """``(src, dst, similarity)`` of ``(item, tag)`` sets with more than ``threshold`` in common, by the inverted index.
 
-def jaccard_pairs(members: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """``(src, dst, similarity)`` of ``(item, tag)`` sets with more than ``threshold`` in common, by the inverted index."""
+    Pairs ``src < dst`` of all items, or with ``queries``, a condition on ``item``, of these items with all others. All pairs
+    grow with the square of a tag's items; the join of sets by prefixes is made for those.
+    """
     m = members.distinct()
     size = m.groupBy("item").agg(F.count("*").alias("n"))
-    a, b = m.toDF("src", "tag"), m.toDF("dst", "tag")
-    both = a.join(b, "tag").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("both"))
+    a, b = (m if queries is None else m.where(queries)).toDF("src", "tag"), m.toDF("dst", "tag")
+    both = a.join(b, "tag").where("src < dst" if queries is None else "src <> dst").groupBy("src", "dst").agg(F.count("*").alias("both"))
     j = both.join(size.toDF("src", "na"), "src").join(size.toDF("dst", "nb"), "dst")
     return j.select("src", "dst", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity")).where(F.col("similarity") > threshold)
 

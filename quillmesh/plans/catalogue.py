@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.plans import crossings, data_quality, graphs, records
+from quillmesh.plans import crossings, data_quality, graphs, memories, records, tables
 
-_MODULES = [data_quality, graphs, records, crossings]
+_MODULES = [data_quality, graphs, records, crossings, tables, memories]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
 

@@ -11,7 +11,7 @@ from quillmesh.operators import networks as N
 from quillmesh.operators.entities import mentions
 from quillmesh.plans.data_quality import _NUMBER
 from quillmesh.plans.graphs import _FACTS, _T, _area_graph, _pairs
-from quillmesh.plans.records import _MENTIONS, _PREFIX, _SLUG, _TAGS
+from quillmesh.plans.records import _MENTIONS, _PREFIX, _SLUG, _STRIP, _TAGS, _W
 from quillmesh.session import materialize
 from quillmesh.sources.tables import table
 
@@ -70,6 +70,8 @@ def review_accept(s, d):
 
 QUERIES = {
     "sponsor_summary": lambda s, d: A.sponsor_summary(people(s, d), documents(s, d)),
+    "sponsor_bills": lambda s, d: A.sponsor_bills(people(s, d), documents(s, d)),
+    "url_bill_tags": lambda s, d: A.link_group_tags(documents(s, d)),
     "tag_party_alignment": lambda s, d: A.tag_party_alignment(segments(s, d), people(s, d)),
     "entity_tag_cooccurrence": lambda s, d: A.entity_tags(records(s, d), segments(s, d), "harms", 2),
     "role_domain_top3": lambda s, d: A.role_domains(records(s, d), segments(s, d)),
@@ -94,11 +96,33 @@ _NAMED = f", nm AS (SELECT DISTINCT {_NUMBER.replace('doc_id', 'doc')} AS doc, k
 _BOTH = _TAGS.rstrip() + "," + _FACTS.replace("WITH ", "", 1).strip()
 _ALL = _MENTIONS.rstrip() + "," + _TAGS.replace("WITH ", "", 1).strip() + "," + _FACTS.replace("WITH ", "", 1).strip() + _MODE + _NAMED
 
+
+
+def _canonical(c: str) -> str:
+    """The SQL of ``canonical_name``."""
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    text = _STRIP(f"coalesce({c}, '')")
+    bare = text
+    for p in A.PREAMBLES:
+        bare = f"regexp_replace({bare}, {quote('(?i)^' + p)}, '')"
+    t = f"CASE WHEN regexp_matches({text}, {quote('(?i)' + A.QUOTED)}) THEN {_STRIP(f'regexp_extract({text}, ' + quote('(?i)' + A.QUOTED) + ', 1)')} ELSE {bare} END"
+    t = f"regexp_replace({t}, {quote(f'^[{A.QUOTES}]+')}, '')"
+    t = f"list_reduce([{t}, {', '.join(quote(b) for b in A.BOUNDARIES)}], lambda t, b: CASE WHEN strpos(lower(t), lower(b)) > 1 THEN substr(t, 1, strpos(lower(t), lower(b)) - 1) ELSE t END)"
+    t = f"regexp_replace({t}, {quote('(?i)' + A.NOISE)}, '')"
+    end = f"[{A.QUOTES},.\\-{_W[1:]}+$"
+    t = _STRIP(f"regexp_replace({t}, {quote(end)}, '')")
+    skipped = " OR ".join(f"starts_with(lower({text}), {quote(p)})" for p in A.SKIPPED)
+    bad = " OR ".join(f"starts_with(lower(n), {quote(p)})" for p in A.NO_NAME)
+    return f"(SELECT CASE WHEN {text} = '' OR {skipped} OR regexp_matches(n, {quote(A.EITHER)}) OR length(n) < 4 OR NOT regexp_matches(n, '\\p{{Lu}}') OR {bad} THEN NULL ELSE n END FROM (SELECT {t} AS n))"
+
+
 SQL = {
     "sponsor_summary": _FACTS
     + ", f AS (SELECT DISTINCT person, doc, coalesce(area, '') AS area FROM fa), c AS (SELECT person, area, count(*) AS n FROM f WHERE area <> '' GROUP BY ALL), "
     + "t AS (SELECT person, string_agg(area || ' (' || n || ')', '; ' ORDER BY n DESC, area) AS top_areas FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY person ORDER BY n DESC, area) <= 3) GROUP BY person) "
-    + "SELECT person, count(*) AS n_bills, coalesce(any_value(top_areas), '') AS top_areas, string_agg(CAST(doc AS VARCHAR), '|' ORDER BY doc) AS bills, string_agg(area, '|' ORDER BY doc) AS bill_areas FROM f LEFT JOIN t USING (person) GROUP BY person",
+    + "SELECT person, count(*) AS n_bills, coalesce(any_value(top_areas), '') AS top_areas FROM f LEFT JOIN t USING (person) GROUP BY person",
+    "sponsor_bills": _FACTS + "SELECT DISTINCT person, doc, coalesce(area, '') AS area FROM fa",
+    "url_bill_tags": f"WITH r AS (SELECT {_T('link')} AS link, tags FROM documents_raw WHERE {_T('link')} <> '') SELECT DISTINCT link, t AS tag FROM (SELECT link, trim(unnest(string_split(coalesce(tags, ''), ';'))) AS t FROM r WHERE link IN (SELECT link FROM r GROUP BY link HAVING count(*) > 1)) WHERE t <> ''",
     "tag_party_alignment": _BOTH + _MODE + ", n AS (SELECT tag, party, count(*) AS n FROM dt JOIN pm USING (doc) GROUP BY ALL) SELECT tag, party, n, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY tag) AS share FROM n",
     "entity_tag_cooccurrence": _ALL + " SELECT kind, name, tag, count(*) AS n_docs FROM named JOIN dt USING (doc) WHERE grp = 'harms' GROUP BY ALL HAVING count(*) >= 2",
     "role_domain_top3": _ALL + ", n AS (SELECT name, tag, count(*) AS n_docs FROM named JOIN dt USING (doc) WHERE grp = 'strategies' AND kind = 'roles' GROUP BY ALL) SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY n_docs DESC, tag) AS INTEGER) AS rank, tag, n_docs FROM n QUALIFY rank <= 3",
@@ -112,7 +136,9 @@ SQL = {
     + " UNION ALL ".join(f"SELECT 'org:{n.lower().replace(' ', '_')}', '{n}', 'organizations', 1.0, 0" for n in A.SEEDS)
     + ") SELECT entity_id, arg_max(name, (confidence, stage, name)) AS canonical_name, arg_max(kind, (confidence, stage, name)) AS entity_type, CAST(max(confidence) AS DOUBLE) AS confidence, CAST(count(DISTINCT name) AS INTEGER) AS n_names FROM s GROUP BY entity_id",
     "merge_chunks": _MENTIONS
-    + ", f AS (SELECT doc, kind, lower(trim(name)) AS low, arg_min(name, (record_id, pos)) AS name, count(*) AS n FROM men GROUP BY 1, 2, 3) SELECT doc, kind, name, n FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.doc IS NOT DISTINCT FROM f.doc AND g.kind = f.kind AND g.low <> f.low AND contains(g.low, f.low))",
+    + ", f AS (SELECT doc, kind, lower(trim(name)) AS low, arg_min(name, (record_id, pos)) AS name, count(*) AS n FROM men GROUP BY 1, 2, 3), a AS (SELECT DISTINCT trim(doc_id) AS doc, lower(trim(unnest(map_keys(disambiguation_updates)))) AS low FROM entity_record) "
+    + "SELECT doc, kind, name, n FROM f WHERE NOT (EXISTS (SELECT 1 FROM a WHERE a.doc = f.doc AND a.low = f.low) AND EXISTS (SELECT 1 FROM f g WHERE g.doc = f.doc AND g.kind = f.kind AND g.low <> f.low AND contains(g.low, f.low)))",
+    "canonical_name_extract": "WITH d AS (SELECT record_id, unnest(map_entries(disambiguation_updates)) AS e FROM entity_record), r AS (SELECT record_id, e.key AS phrase, e.value AS meaning FROM d) SELECT record_id, phrase, " + _canonical("meaning") + " AS name FROM r",
     "memory_context": _MENTIONS
     + ", m2 AS (SELECT kind, '- ' || name || ' (' || count(*) || ')' AS line, -count(*) AS o FROM men GROUP BY kind, name), r AS (SELECT kind, sum(length(line) + 1) OVER (PARTITION BY kind ORDER BY o, line ROWS UNBOUNDED PRECEDING) AS length FROM m2) SELECT kind, count(*) AS n_lines, CAST(max(length) AS BIGINT) AS n_chars FROM r WHERE length <= 6000 GROUP BY kind",
     "review_accept": "WITH n AS (SELECT unnest(organizations).name AS name FROM entity_record) SELECT CASE WHEN lower(trim(name)) = 'agency' THEN 'Agency (unnamed)' ELSE name END AS name, count(*) AS n FROM n WHERE lower(name) IN ('agency', 'the board') GROUP BY 1",

@@ -76,23 +76,6 @@ def _area_graph(spark, sf):
     return materialize(L.area_pairs(_people(spark, sf), _documents(spark, sf)), "areas")
 
 
-def entity_layer_edges(spark, sf):
-    return G.entity_layer(table(spark, sf, "entity_record"))[1].groupBy("src_id", "relation", "dst_id").agg(F.count("*").alias("n"))
-
-
-def layer_union_stats(spark, sf):
-    rows, people = _rows(spark, sf), _people(spark, sf)
-    sponsors = lambda df: L.person_nodes(df, "last").select("node_id", F.lit("Sponsor").alias("node_type"), F.col("full_name").alias("label"))
-    layers = {
-        "knowledge": (G.graph_nodes(rows), G.graph_edges(rows)),
-        "cosponsor": (sponsors(L.active(people)), L.sponsorship_edges(L.active(people), "COSPONSORED_BY")),
-        "withdrawn": (sponsors(people.where("is_withdrawn")), L.sponsorship_edges(people.where("is_withdrawn"), "WITHDREW")),
-    }
-    nodes, edges = G.combine_layers(layers)
-    n = nodes.groupBy("node_type").agg(F.count("*").alias("n")).select(F.lit("nodes").alias("layer"), F.col("node_type").alias("kind"), "n")
-    return n.unionByName(edges.groupBy("layer", F.col("relation").alias("kind")).agg(F.count("*").alias("n")))
-
-
 def coalition_stability(spark, sf):
     whole = N.communities(_pairs(spark, sf), "greedy")
     areas = L.areas(_documents(spark, sf))
@@ -101,7 +84,7 @@ def coalition_stability(spark, sf):
     f = facts.join(top, "area", "left_semi")
     inside = f.toDF("area", "doc", "src").join(f.toDF("area", "doc", "dst"), ["area", "doc"]).where("src < dst").groupBy("area", "src", "dst").agg(F.count("*").alias("weight"))
     named = inside.select("area", F.concat_ws("\u001f", "area", "src").alias("src"), F.concat_ws("\u001f", "area", "dst").alias("dst"), "weight")
-    local = N.communities(named.drop("area"), "greedy").select(F.split_part("node", F.lit("\u001f"), F.lit(1)).alias("area"), "community", F.split_part("node", F.lit("\u001f"), F.lit(2)).alias("node"))
+    local = N.communities(named, "greedy", part="area").select(F.split_part("node", F.lit("\u001f"), F.lit(1)).alias("area"), "community", F.split_part("node", F.lit("\u001f"), F.lit(2)).alias("node"))
     return N.stability(local, whole.select("node", "community"))
 
 
@@ -134,8 +117,6 @@ QUERIES = {
     "cross_ratio": lambda s, d: L.cross_ratio(L.person_pairs(_people(s, d)), L.person_nodes(_people(s, d))),
     "clustering_coefficient": lambda s, d: L.clustering(L.person_pairs(_people(s, d))),
     "connected_components": lambda s, d: connected_components(_pairs(s, d)),
-    "entity_layer_edges": entity_layer_edges,
-    "layer_union_stats": layer_union_stats,
     "betweenness": lambda s, d: N.betweenness(_area_graph(s, d), weighted=True),
     "betweenness_unweighted": lambda s, d: N.betweenness(_pairs(s, d)),
     "closeness": lambda s, d: N.closeness(_area_graph(s, d)),
@@ -287,7 +268,4 @@ SQL = {
     "clustering_coefficient": _FACTS
     + f", e AS (SELECT src AS a, dst AS b FROM ppairs UNION ALL SELECT dst, src FROM ppairs), t AS (SELECT x.a AS node, count(*) // 2 AS triangles FROM e x JOIN e y ON x.a = y.a AND x.b <> y.b JOIN e z ON z.a = x.b AND z.b = y.b GROUP BY x.a), d AS ({_DEGREES.replace('{t}', 'ppairs')}) "
     + "SELECT node, degree, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles, CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0.0 END AS clustering FROM d LEFT JOIN t USING (node)",
-    "entity_layer_edges": "WITH r AS (SELECT trim(doc_id) AS doc, arg_max(struct_pack(organizations, offices, roles), record_id) AS r FROM entity_record WHERE trim(coalesce(doc_id, '')) <> '' GROUP BY 1), "
-    + "m AS (SELECT doc, 'MENTIONS_ORG' AS relation, 'org:' AS p, unnest(r.organizations).name AS name FROM r UNION ALL SELECT doc, 'MENTIONS_OFFICE', 'office:', unnest(r.offices).name FROM r UNION ALL SELECT doc, 'MENTIONS_ROLE', 'role:', unnest(r.roles).title FROM r) "
-    + f"SELECT {_ID('document', 'doc')} AS src_id, relation, p || trim(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '_', 'g'), '_') AS dst_id, count(*) AS n FROM m WHERE trim(coalesce(name, '')) <> '' GROUP BY ALL",
 }

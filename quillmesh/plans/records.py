@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import ids, text, truth
+from quillmesh.operators import assessment as Q
 from quillmesh.operators import entities as E
 from quillmesh.operators import taxonomy as T
 from quillmesh.plans.data_quality import _NUMBER
@@ -51,7 +52,7 @@ def slug_dialects(spark, sf):
 
 def tag_signature(spark, sf):
     t = _tags(spark, sf).where("doc IS NOT NULL").select(F.pmod("doc", F.lit(50)).alias("grp"), F.col("doc").alias("member"), "tag").distinct()
-    return T.signature(t, share=0.2).select("grp", "size", "label", F.array_join("signature", "|").alias("signature"))
+    return T.signature(t).select("grp", "size", "label", F.array_join("signature", "|").alias("signature"))
 
 
 def cooccurrence_matrix(spark, sf):
@@ -76,6 +77,11 @@ def resume_antijoin(spark, sf):
     return docs.join(done, "doc", "left_anti").select("doc_id")
 
 
+def _profiles(spark, sf):
+    """Summaries and tags of every catalogue row in one text."""
+    return table(spark, sf, "documents_raw").select("ord", F.concat_ws(" ", "short_summary", "long_summary", "tags").alias("profile"))
+
+
 def dense_cosine(spark, sf):
     v = table(spark, sf, "embeddings")
     return T.cosine_to(v, "vec_id", "embedding", v.where("vec_id % 50 = 0")).select("query", "vec_id", F.round("cosine", 6).alias("cosine"))
@@ -101,9 +107,9 @@ QUERIES = {
     "segments_per_doc": lambda s, d: T.segments_per_document(table(s, d, "segments_raw")),
     "coverage_ratios": lambda s, d: T.coverage(table(s, d, "documents_raw")),
     "top_authorities": lambda s, d: table(s, d, "documents_raw").where("trim(authority) <> ''").groupBy(F.trim("authority").alias("authority")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "authority").limit(15),
-    "tfidf_totals": lambda s, d: T.tfidf(table(s, d, "documents"), "doc_id", "title").groupBy("token", "df").agg(F.sum("tf").alias("tf")),
-    "tfidf_weights": lambda s, d: T.tfidf(table(s, d, "documents"), "doc_id", "title").select("doc_id", "token", F.round("weight", 6).alias("weight")),
-    "tag_jaccard_edges": lambda s, d: T.jaccard_pairs(table(s, d, "registry").select("entity_id", F.explode(F.split(F.lower("canonical_name"), " ")).alias("t")).where("length(t) > 3").toDF("item", "tag"), 0.25),
+    "tfidf_totals": lambda s, d: T.tfidf(_profiles(s, d), "ord", "profile").groupBy("token", "df").agg(F.sum("tf").alias("tf")),
+    "tfidf_weights": lambda s, d: T.tfidf(_profiles(s, d), "ord", "profile").select("ord", "token", F.round("weight", 6).alias("weight")),
+    "tag_jaccard_edges": lambda s, d: T.jaccard_pairs(_tags(s, d).where("doc IS NOT NULL").select(F.col("doc").alias("item"), "tag"), 0.25, queries="item % 50 = 0"),
     "dense_cosine_edges": dense_cosine,
     "entity_coverage": lambda s, d: E.coverage(_records(s, d)),
     "token_usage": lambda s, d: E.token_usage(_records(s, d)),
@@ -113,11 +119,11 @@ QUERIES = {
     "resolve_terms": lambda s, d: E.resolve(E.mentions(_records(s, d)), E.registry_terms(_registry(s, d))).groupBy("kind", "entity_id").agg(F.count("*").alias("n")),
     "dictionary_entries": lambda s, d: E.dictionary(_records(s, d)),
     "bare_alias_queue": lambda s, d: E.bare_aliases(_records(s, d), _registry(s, d), GENERIC),
-    "confidence_scores": lambda s, d: E.scored(_records(s, d), _registry(s, d)),
+    "confidence_scores": lambda s, d: E.scored(_records(s, d), _registry(s, d), _gold(s, d)),
     "memory_first_wins": lambda s, d: E.memory(_records(s, d)),
     "graduation_candidates": lambda s, d: E.graduates(_records(s, d), 2),
     "eval_prf": lambda s, d: E.evaluate_exact(_predicted(s, d), _gold(s, d)),
-    "eval_fuzzy": lambda s, d: E.evaluate_fuzzy(_predicted(s, d), _gold(s, d)),
+    "eval_fuzzy": lambda s, d: Q.by_kind(Q.matched(_predicted(s, d), _gold(s, d))).select("kind", "tp", "fp", "fn"),
     "truth_dialects": truth_dialects,
     "slug_dialects": slug_dialects,
     "upsert_merge": upsert_merge,
@@ -149,6 +155,22 @@ _SLUG = lambda c: f"trim(regexp_replace(lower(trim(coalesce({c}, ''))), '[^a-z0-
 _PREFIX = "CASE {k} WHEN 'organizations' THEN 'org' WHEN 'offices' THEN 'office' WHEN 'roles' THEN 'role' ELSE 'entity' END"
 _PLAIN = lambda c: f"trim(regexp_replace(regexp_replace(lower(trim(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 
+_W = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STRIP = lambda c: f"regexp_replace({c}, '^{_W}+|{_W}+$', '', 'g')"
+_M = "chr(57344) || chr(57345)"
+_CHUNKS = f"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) > 0),
+o AS (SELECT doc_id, text, string_split(regexp_replace(text, '(?im)^({_W}*SEC(?:TION)?\\.?{_W}+\\p{{Nd}}+[A-Z]?\\.)', {_M} || '\\1', 'g'), {_M}) AS os FROM d WHERE length(text) > 6000),
+p AS (SELECT doc_id, CASE WHEN len(os) > 1 THEN {_STRIP('x')} ELSE x END AS part, i, len(os) > 1 AS many FROM (SELECT doc_id, os, unnest(os) AS x, generate_subscripts(os, 1) AS i FROM o)),
+s AS (SELECT *, list_filter(string_split(regexp_replace(part, '(?m)^({_W}*\\([a-z]\\))', {_M} || '\\1', 'g'), {_M}), lambda x: x <> '') AS subs FROM p WHERE part <> ''),
+f AS (SELECT doc_id, i, CASE
+  WHEN length(part) <= 6000 AND many THEN [part]
+  WHEN len(subs) < 2 THEN list_transform(range(0, CAST(floor((length(part) - 1) / 6000) AS BIGINT) + 1), lambda k: {_STRIP('part[k * 6000 + 1 : k * 6000 + 6000]')})
+  ELSE list_transform(string_split(list_reduce(list_concat([''], subs), lambda st, x: CASE WHEN length(string_split(st, {_M})[-1]) + length(x) > 6000 AND string_split(st, {_M})[-1] <> '' THEN st || {_M} || x ELSE st || x END), {_M}), lambda x: {_STRIP('x')}) END AS cs FROM s),
+c AS (SELECT doc_id, list_filter(flatten(list(cs ORDER BY i)), lambda x: x <> '') AS cs FROM f GROUP BY doc_id
+  UNION ALL SELECT doc_id, [text] FROM d WHERE length(text) <= 6000)
+SELECT doc_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS chunk, length(unnest(cs)) AS n_chars, md5(unnest(cs)) AS digest FROM c"""
+
 SQL = {
     "split_explode_tags": f"SELECT ord, unnest({_LIST}) AS tag, CAST(generate_subscripts({_LIST}, 1) - 1 AS INTEGER) AS pos FROM segments_raw",
     "tag_totals": _TAGS + "SELECT tag, count(*) AS n_segments, count(DISTINCT doc) AS n_docs FROM tags GROUP BY tag",
@@ -159,9 +181,9 @@ SQL = {
     "segments_per_doc": f"WITH n AS (SELECT {_NUMBER} AS doc, count(*) AS n FROM segments_raw GROUP BY 1) SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_segments, max(n) AS max_n, median(n) AS median_n FROM n WHERE doc IS NOT NULL",
     "coverage_ratios": "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (trim(coalesce({c}, '')) <> '') AS with_{c}" for c in ["casual_name", "authority", "collections", "tags", "short_summary", "long_summary", "proposed_date"]) + " FROM documents_raw",
     "top_authorities": "SELECT trim(authority) AS authority, count(*) AS n FROM documents_raw WHERE trim(authority) <> '' GROUP BY 1 ORDER BY n DESC, authority LIMIT 15",
-    "tfidf_totals": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(title, '')), '([a-z0-9]+)', 1)) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM w GROUP BY token",
-    "tfidf_weights": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(title, '')), '([a-z0-9]+)', 1)) AS token FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token) SELECT doc_id, token, round(tf * ln(((SELECT count(*) FROM documents) + 1) / CAST(df + 1 AS DOUBLE)), 6) AS weight FROM tf JOIN df USING (token)",
-    "tag_jaccard_edges": "WITH m AS (SELECT DISTINCT entity_id AS item, t FROM (SELECT entity_id, unnest(string_split(lower(canonical_name), ' ')) AS t FROM registry) WHERE length(t) > 3), z AS (SELECT item, count(*) AS n FROM m GROUP BY item), b AS (SELECT x.item AS src, y.item AS dst, count(*) AS both_ FROM m x JOIN m y ON x.t = y.t AND x.item < y.item GROUP BY ALL) SELECT src, dst, CAST(both_ AS DOUBLE) / (za.n + zb.n - both_) AS similarity FROM b JOIN z za ON src = za.item JOIN z zb ON dst = zb.item WHERE CAST(both_ AS DOUBLE) / (za.n + zb.n - both_) > 0.25",
+    "tfidf_totals": "WITH w AS (SELECT ord, unnest(regexp_extract_all(lower(concat_ws(' ', short_summary, long_summary, tags)), '([a-z0-9]+)', 1)) AS token FROM documents_raw) SELECT token, count(DISTINCT ord) AS df, count(*) AS tf FROM w GROUP BY token",
+    "tfidf_weights": "WITH w AS (SELECT ord, unnest(regexp_extract_all(lower(concat_ws(' ', short_summary, long_summary, tags)), '([a-z0-9]+)', 1)) AS token FROM documents_raw), tf AS (SELECT ord, token, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token) SELECT ord, token, round(tf * ln(((SELECT count(*) FROM documents_raw) + 1) / CAST(df + 1 AS DOUBLE)), 6) AS weight FROM tf JOIN df USING (token)",
+    "tag_jaccard_edges": _TAGS + ", z AS (SELECT doc, count(*) AS n FROM dt GROUP BY doc), b AS (SELECT x.doc AS src, y.doc AS dst, count(*) AS both_ FROM dt x JOIN dt y ON x.tag = y.tag AND x.doc <> y.doc WHERE x.doc % 50 = 0 GROUP BY ALL) SELECT src, dst, CAST(both_ AS DOUBLE) / (za.n + zb.n - both_) AS similarity FROM b JOIN z za ON src = za.doc JOIN z zb ON dst = zb.doc WHERE CAST(both_ AS DOUBLE) / (za.n + zb.n - both_) > 0.25",
     "dense_cosine_edges": "SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id",
     "entity_coverage": _MENTIONS + "SELECT kind, count(DISTINCT lower(trim(name))) AS n_names, count(*) AS n_mentions, count(DISTINCT doc) AS n_docs FROM men GROUP BY kind",
     "token_usage": "SELECT CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(chunks_processed) AS BIGINT) AS chunks FROM entity_record",
@@ -171,8 +193,16 @@ SQL = {
     "resolve_terms": _MENTIONS + "SELECT kind, entity_id, count(*) AS n FROM resolved GROUP BY ALL",
     "dictionary_entries": _MENTIONS + f"SELECT {_PREFIX.replace('{k}', 'kind')} || ':' || {_SLUG('name')} AS entity_id, arg_min(name, (record_id, pos)) AS canonical_name, any_value(kind) AS entity_type, count(*) AS mention_count, count(DISTINCT doc) AS n_seen_in FROM men GROUP BY 1",
     "bare_alias_queue": _MENTIONS + f"SELECT kind, name, entity_id, count(*) AS n, count(DISTINCT doc) AS n_docs FROM resolved WHERE lower(trim(name)) IN ({', '.join(repr(g) for g in GENERIC)}) GROUP BY ALL",
+    "chunk_text": _CHUNKS,
+    "tag_signature": _TAGS + ", m AS (SELECT DISTINCT ((doc % 50) + 50) % 50 AS grp, doc AS member, tag FROM tags WHERE doc IS NOT NULL), z AS (SELECT grp, count(DISTINCT member) AS size FROM m GROUP BY grp), n AS (SELECT grp, tag, count(DISTINCT member) AS n FROM m GROUP BY ALL), r AS (SELECT n.*, size, row_number() OVER (PARTITION BY grp ORDER BY n DESC, tag) AS k FROM n JOIN z USING (grp)) SELECT grp, any_value(size) AS size, string_agg(tag, ' | ' ORDER BY k) FILTER (k <= 3) AS label, coalesce(string_agg(tag, '|' ORDER BY k) FILTER (n >= 0.4 * size), '') AS signature FROM r GROUP BY grp",
     "confidence_scores": _MENTIONS
-    + "SELECT record_id, kind, CAST(pos AS INTEGER) AS pos, name, entity_id, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN entity_id IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN lower(trim(name)) IN (SELECT lower(trim(canonical_name)) FROM registry WHERE trim(coalesce(acronym, '')) <> '') THEN 0.1 ELSE 0 END - CASE WHEN length(trim(name)) < 5 THEN 0.2 ELSE 0 END)), 3)::DOUBLE AS confidence FROM resolved",
+    + """, e AS (SELECT r.*, lower(trim(g.canonical_name)) AS full_, trim(coalesce(g.acronym, '')) <> '' AS has FROM resolved r LEFT JOIN registry g USING (entity_id)),
+k AS (SELECT DISTINCT entity_type AS kind, lower(trim(coalesce(name, title))) AS k FROM manual_annotations WHERE trim(coalesce(name, title, '')) <> ''),
+c AS (SELECT record_id, kind, CAST(pos AS INTEGER) AS pos, name, entity_id, length(trim(name)) < 8 AS brief,
+ round(greatest(0.0, least(1.0, 0.5 + CASE WHEN entity_id IS NOT NULL THEN 0.3 ELSE 0 END
+ + CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.kind = e.kind AND k.k IN (lower(trim(e.name)), e.full_)) THEN 0.1 ELSE 0 END
+ + CASE WHEN has THEN 0.1 ELSE 0 END - CASE WHEN length(trim(name)) < 8 THEN 0.2 ELSE 0 END)), 3)::DOUBLE AS confidence FROM e)
+SELECT record_id, kind, pos, name, entity_id, confidence, CASE WHEN confidence < 0.5 THEN concat_ws(', ', CASE WHEN brief THEN 'short_name' END, CASE WHEN entity_id IS NULL THEN 'not_in_registry' END) END AS reason FROM c""",
     "memory_first_wins": "WITH d AS (SELECT record_id, unnest(map_entries(disambiguation_updates)) AS e FROM entity_record), c AS (SELECT record_id, lower(trim(e.key)) AS phrase, e.value AS meaning FROM d WHERE NOT contains(e.key, '_in_sec_')) SELECT phrase, arg_min(meaning, (record_id, meaning)) AS meaning, count(*) AS n_given, count(DISTINCT meaning) AS n_meanings FROM c GROUP BY phrase",
     "graduation_candidates": "WITH d AS (SELECT unnest(map_entries(disambiguation_updates)) AS e FROM entity_record) SELECT lower(trim(e.key)) AS phrase, trim(e.value) AS meaning, count(*) AS n, CAST(least(0.95, 0.6 + 0.05 * count(*)) AS DOUBLE) AS confidence FROM d GROUP BY 1, 2 HAVING count(*) >= 2",
     "truth_dialects": "SELECT ord, lower(trim(coalesce(non_operative, ''))) IN ('1', 'true', 'yes', 'y', 'x') AS graph, trim(coalesce(non_operative, '')) = 'True' AS exact, lower(trim(coalesce(non_operative, ''))) IN ('true', '1', 'yes') AS government, lower(trim(coalesce(non_operative, ''))) = 'true' AS sync, CASE WHEN lower(trim(coalesce(non_operative, ''))) = 'true' THEN true END AS optional, trim(coalesce(non_operative, '')) NOT IN ('', '0', 'FALSE', 'False', 'No') AS demo FROM segments_raw",

@@ -53,6 +53,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the session names none (tests, local runs)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)

@@ -16,6 +16,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     ) > 0
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of any file system the cluster knows, on the driver."""
+    rows = spark.read.text(path, wholetext=True).take(1)
+    return rows[0][0] if rows else ""
+
+
 def csv_text(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file, every value a string, missing ones ''; a byte-order mark before the first column name is dropped."""
     if not _exists(spark, path):
@@ -49,13 +55,17 @@ def texts(spark: SparkSession, pattern: str) -> DataFrame:
     return raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), F.col("value").alias("text"))
 
 
-def graph_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node and edge text tables ready for walks: blank ids and incomplete edges dropped, the last node row of an id kept."""
-    numbered = nodes.withColumn("row", F.monotonically_increasing_id()).where(F.trim("node_id") != "")
+def graph_tables(nodes: DataFrame, edges: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Node and edge text tables ready for walks: blank ids and incomplete edges dropped, the last node row of an id kept.
+
+    ``order`` names the column with the place of a row; without it rows count in the order of the file, which holds for
+    tables read from one file."""
+    place = F.col(order).cast("bigint") if order else F.monotonically_increasing_id()
+    numbered = nodes.withColumn("row", place).where(F.trim("node_id") != "")
     last = numbered.groupBy("node_id").agg(F.max_by("node_type", "row").alias("node_type"), F.max_by("label", "row").alias("label"))
     whole = edges.where((F.trim("src_id") != "") & (F.trim("relation") != "") & (F.trim("dst_id") != ""))
-    order = F.struct(F.lit(0).alias("stage"), F.monotonically_increasing_id().alias("ord"), F.lit(0).alias("sub"))
-    return last, whole.select("src_id", "relation", "dst_id", order.alias("edge_order"))
+    at = F.struct(F.lit(0).alias("stage"), place.alias("ord"), F.lit(0).alias("sub"))
+    return last, whole.select("src_id", "relation", "dst_id", at.alias("edge_order"))
 
 
 def hosted(spark: SparkSession, url: str, name: str, columns: list[str], equal: dict[str, str] | None = None, **options: str) -> DataFrame:
@@ -78,7 +88,7 @@ def communities_json(spark: SparkSession, path: str) -> DataFrame:
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of one GraphML file, read on the driver: such files are drawings of small graphs."""
     ns = "{http://graphml.graphdrawing.org/xmlns}"
-    root = ET.parse(path).getroot()
+    root = ET.fromstring(read_text(spark, path))
     names = {k.get("id"): k.get("attr.name") for k in root.iter(ns + "key")}
     data = lambda x: {names.get(d.get("key"), d.get("key")): d.text or "" for d in x.iter(ns + "data")}
     nodes = [(x.get("id"), data(x)) for x in root.iter(ns + "node")]
@@ -92,3 +102,41 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def strings(columns: list[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
+
+
+def layer_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The node or edge table of a layer; a missing path is an error with its name."""
+    return csv_text(spark, path)
+
+
+def community_map(communities: DataFrame) -> DataFrame:
+    """``(doc, community)`` of ``(community_id, members, ord)``; of a document in several the last community counts."""
+    each = communities.select("community_id", "ord", F.explode("members").alias("doc"))
+    return each.groupBy("doc").agg(F.max_by("community_id", "ord").alias("community"))
+
+
+def first_community(communities: DataFrame) -> DataFrame:
+    """``(doc, community)``, of a document in several the first community."""
+    each = communities.select("community_id", "ord", F.explode("members").alias("doc"))
+    return each.groupBy("doc").agg(F.min_by("community_id", "ord").alias("community"))
+
+
+def texts_of(documents: DataFrame, hosted_texts: DataFrame | None, local: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of the documents: the hosted text, where there is none the local one, else NULL."""
+    out = documents.select("doc_id").distinct().join(local.select("doc_id", F.col("text").alias("local_text")), "doc_id", "left")
+    if hosted_texts is None:
+        return out.withColumnRenamed("local_text", "text")
+    h = hosted_texts.select("doc_id", F.col("text").alias("hosted_text"))
+    return out.join(h, "doc_id", "left").select("doc_id", F.coalesce("hosted_text", "local_text").alias("text"))
+
+
+def memories(spark: SparkSession, path: str, communities: DataFrame) -> DataFrame:
+    """``(community_id, label, rules)`` of all communities: the stored memory, else a fresh one with the community's label."""
+    stored = json_lines(spark, path, "community_id string, rules map<string,string>").groupBy("community_id").agg(F.first("rules").alias("rules"))
+    none = F.create_map().cast("map<string,string>")
+    return communities.select("community_id", "label").join(stored, "community_id", "left").withColumn("rules", F.coalesce("rules", none))
+
+
+def by_ids(table_: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of a table whose key is among the ids."""
+    return table_.join(ids.select(key).distinct(), key, "left_semi")

@@ -7,7 +7,12 @@ from quillmesh.operators import reports
 
 @pytest.mark.parametrize(
     ("raw", "wanted"),
-    [("refers to the Harbor Board, as defined in Sec. 2", "Harbor Board"), ("Means Grid Agency because it says so", "Grid Agency"), ("The Grid Agency.", "Grid Agency"), ("", None), (None, None), ("x", None)],
+    [
+        ("Resolved to the Secretary of Commerce per SEC. 4", "the Secretary of Commerce"), ("Department of Energy or Department of State", None), ("not referenced", None), ("abc", None),
+        ("Confirmed as Office of Audits inferred from title", "Office of Audits"), ("In SEC. 3, 'the Board' refers to Harbor Safety Board; see above", "Harbor Safety Board"),
+        ("Refers to the Grid Agency.", "Grid Agency"), ("“Grid Agency”, appointed by the Board", "Grid Agency"), ("Grid Agency (used 3 times in text)", "Grid Agency"), ("grid agency", None), ("Authority to act", None),
+        ("per SEC. 4", "per SEC. 4"), ("", None), (" \n", None), (None, None),
+    ],
 )
 def test_canonical_name(spark, raw, wanted):
     assert spark.createDataFrame([(raw,)], "v string").select(A.canonical_name(F.col("v"))).first()[0] == wanted
@@ -42,3 +47,6 @@ def test_html(spark):
     page = reports.page("T", [reports.html_table(spark.createDataFrame([("a<b", None)], "x string, y string"), "rows")])
     assert "a&lt;b" in page and "1 rows" in page
     assert reports.fragment("# H\n- a\n- b\n\ntext\n```\nx < y\n```") == "<h1>H</h1>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n<p>text</p>\n<pre><code>x &lt; y</code></pre>"
+
+    made, missing = reports.dashboard("D", ["Fig A", "B"], {"Fig A": "<i/>"})
+    assert missing == ["B"] and "id='fig-a'" in made and "<li>B</li>" in made

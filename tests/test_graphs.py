@@ -4,6 +4,7 @@ import random
 import pytest
 
 from quillmesh.operators import graph as G
+from quillmesh.operators import layers as Y
 from quillmesh.operators import legislators as L
 from quillmesh.operators import networks as N
 from quillmesh.operators.components import connected_components
@@ -54,11 +55,22 @@ def test_graph_counts(spark):
 
 
 def test_layers_keep_edges(spark):
-    n = lambda *r: spark.createDataFrame(r, "node_id string, node_type string, label string")
-    e = lambda *r: spark.createDataFrame(r, "src_id string, relation string, dst_id string")
-    nodes, edges = G.combine_layers({"a": (n(("d", None, "")), e(("d", "R", "p"), ("d", "R", "p"))), "b": (n(("d", "Document", "D"), ("p", "P", "x")), e(("d", "R", "p")))})
-    assert {tuple(r) for r in nodes.collect()} == {("d", "Document", "D"), ("p", "P", "x")}
+    n = lambda *r: spark.createDataFrame(r, "node_id string, node_type string, label string, layer int, detail string")
+    e = lambda *r: spark.createDataFrame(r, "src_id string, relation string, dst_id string, layer int, detail string")
+    one = ("d", "R", "p", 1, None)
+    layers = {"a": (n(("d", None, "", 1, None)), e(one, one)), "b": (n(("d", "Document", "D", 2, None), ("p", None, None, None, None)), e(one))}
+    nodes, edges = Y.combine(layers)
+    # an attribute comes from the first layer that has it, be it empty
+    assert {tuple(r)[:4] for r in nodes.collect()} == {("d", "Document", "", 1), ("p", None, None, None)}
     assert edges.count() == 3
+    counted = {tuple(r) for r in Y.stats(layers, (nodes, edges)).collect()}
+    assert {("b", "nodes", "Unknown", 1), ("a", "edges", "R", 2), ("combined", "nodes", None, 2), ("combined", "edges", None, 3)} <= counted
+    made = []
+    makers = {name: (lambda name=name: made.append(name)) for name in Y.LAYERS}
+    for phase, wanted in ((None, Y.LAYERS), ("all", Y.LAYERS), ("sponsor", ("sponsor", "cosponsor", "withdrawn")), ("ner", ("entity",)), ("other", ())):
+        made.clear()
+        Y.build(phase, makers)
+        assert made == list(wanted)
 
 
 def test_people(spark):

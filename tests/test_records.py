@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import ids, text, truth
+from quillmesh.operators import assessment as Q
 from quillmesh.operators import entities as E
 from quillmesh.operators import taxonomy as T
 from quillmesh.plans import records
@@ -44,7 +45,7 @@ def test_sections(spark):
     got = {}
     for r in E.sections(df, "id", "text", 80).orderBy("id", "chunk").collect():
         got.setdefault(r.id, []).append(r.text)
-    assert [t[:6] for t in got[1]] == ["SEC. 1", "SEC. 2"]
+    assert [t[:6] for t in got[1]] == ["SEC. 1", "SEC. 2"] and not any(t != t.strip() for t in got[1])
     assert got[4] == ["short"] and 2 not in got and 3 not in got
     assert "".join(got[5]) == "z" * 10_000 and max(map(len, got[5])) == 80
 
@@ -53,7 +54,38 @@ def test_fuzzy_evaluation_takes_the_first_alike(spark):
     schema = "doc string, kind string, name string, pos int"
     gold = spark.createDataFrame([("1", "organizations", "abcdefghix", 0), ("1", "organizations", "abcdefghij", 1)], schema)
     predicted = spark.createDataFrame([("1", "organizations", "Abcdefghij", 0), ("1", "organizations", "zzz", 1)], schema)
-    assert tuple(E.evaluate_fuzzy(predicted, gold).first()) == ("organizations", 1, 1, 1)
+    assert tuple(Q.matched(predicted, gold).first())[1:] == ("organizations", 1, 1, 1, 1)
+
+
+def test_texts_within_the_limit_stay_whole(spark):
+    short = "SEC. 1. One text of some length.\n SEC. 2. Another text of length. "
+    packed = "SEC. 1. Long.\n" + "".join(f"  ({c}) part {c} " + "w" * 30 + "\n" for c in "abcd")
+    giant = "intro\n(a) " + "x" * 200 + "\n(b) y"
+    df = spark.createDataFrame([(1, short), (2, packed), (3, giant)], "id int, text string")
+    got: dict[int, list[str]] = {}
+    for r in E.sections(df, "id", "text", 120).orderBy("id", "chunk").collect():
+        got.setdefault(r.id, []).append(r.text)
+    assert got[1] == [short]
+    assert [t.splitlines()[0] for t in got[2]] == ["SEC. 1. Long.", "(c) part c " + "w" * 30] and all(len(t) <= 120 for t in got[2])
+    # a sub-section beyond the limit is not cut
+    assert got[3] == ["intro", "(a) " + "x" * 200, "(b) y"]
+
+
+def test_confidence(spark):
+    registry = spark.createDataFrame([(1, "o1", "organizations", "Agency", "", None, 0.9), (2, "o2", "organizations", "Harbor Safety Board", "HSB", None, 0.9), (3, "r1", "roles", "Chief of Harbors", "", None, 0.9)], "ord bigint, entity_id string, entity_type string, canonical_name string, acronym string, aliases array<string>, confidence double")
+    e = lambda n: (n, None, None, 0, 1)
+    org = "array<struct<name:string,acronym:string,context:string,char_start:int,char_end:int>>"
+    office = "array<struct<name:string,parent_org:string,context:string,char_start:int,char_end:int>>"
+    role = "array<struct<title:string,org:string,context:string,char_start:int,char_end:int>>"
+    rows = [(1, "1", [e("Agency"), e("HSB"), e("harbor safety board"), e("Nobody At All"), e("Old"), e("the port lead")], None, [])]
+    records = spark.createDataFrame(rows, f"record_id bigint, doc_id string, organizations {org}, offices {office}, roles {role}")
+    roster = spark.createDataFrame([("organizations", "Harbor Safety Board"), ("roles", "Agency")], "kind string, name string")
+    rules = spark.createDataFrame([("The port lead", "r1")], "pattern string, entity_id string")
+    got = {r.name: (r.confidence, r.reason) for r in E.scored(records, registry, roster, rules).collect()}
+    assert got == {
+        "Agency": (0.6, None), "HSB": (0.8, None), "harbor safety board": (1.0, None), "Nobody At All": (0.5, None),
+        "Old": (0.3, "short_name, not_in_registry"), "the port lead": (0.2, "type_conflict, not_in_registry"),
+    }
 
 
 def test_spans(spark):
@@ -93,6 +125,34 @@ def test_sources(spark, tmp_path):
     assert {r.node_id: r.props["label"] for r in nodes.collect()} == {"a": "", "b": "x<y"} and edges.count() == 3
 
 
+def test_sinks(spark, tmp_path):
+    import json
+
+    root = str(tmp_path)
+    writers.json_document(spark, f"{root}/a.json", {"b": "é", "a": [1]})
+    assert (tmp_path / "a.json").read_text() == '{\n  "b": "\\u00e9",\n  "a": [\n    1\n  ]\n}\n'
+    for v in ("x", "y"):
+        writers.replace_json_lines(spark.createDataFrame([(v,)], "v string"), f"{root}/lines")
+        assert [r.v for r in spark.read.json(f"{root}/lines").collect()] == [v]
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("lines")] == ["lines"]
+    writers.indexed_csv(spark.createDataFrame([(i, f"n{i}") for i in range(50, 0, -1)], "k int, n string").repartition(5), f"{root}/t", ["k"])
+    rows = spark.read.csv(f"{root}/t", header=True, inferSchema=True).collect()
+    assert {(r["index"], r.k) for r in rows} == {(i, i + 1) for i in range(50)}
+    writers.report_document(spark, f"{root}/r.json", spark.createDataFrame([(1,)], "n int"), {"kinds": spark.createDataFrame([("a", 2)], "k string, n int")})
+    assert json.loads((tmp_path / "r.json").read_text()) == {"n": 1, "kinds": [{"k": "a", "n": 2}]}
+    n = spark.createDataFrame([("a", None), ("b", "x<y")], "node_id string, label string")
+    e = spark.createDataFrame([("a", "b", "R")], "src_id string, dst_id string, relation string")
+    for form in ("gexf", "graphml", "png"):
+        writers.graph_file(n, e, root, "g", form)
+    assert (tmp_path / "g.gexf").exists() and (tmp_path / "g.graphml").exists() and not (tmp_path / "g.png").exists()
+    c = spark.createDataFrame([("c1", "L", ["1", "2"], 1), ("c2", "M", ["2"], 2)], "community_id string, label string, members array<string>, ord int")
+    assert {tuple(r) for r in readers.community_map(c).collect()} == {("1", "c1"), ("2", "c2")} and {tuple(r) for r in readers.first_community(c).collect()} == {("1", "c1"), ("2", "c1")}
+    assert {r.community_id: r.rules for r in readers.memories(spark, f"{root}/none", c).collect()} == {"c1": {}, "c2": {}}
+    d = spark.createDataFrame([("1",), ("2",), ("3",)], "doc_id string")
+    h, o = (spark.createDataFrame(x, "doc_id string, text string") for x in ([("1", "h"), ("2", None)], [("1", "l"), ("2", "l")]))
+    assert {tuple(r) for r in readers.texts_of(d, h, o).collect()} == {("1", "h"), ("2", "l"), ("3", None)}
+
+
 def test_merge(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "id int, v string")
