@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import chamber, chamber_long, clean_district, last_first, ratio
 from quillmesh.operators.orphans import id_number
+from quillmesh.session import materialize
 
+PART = 2048
 
 def facts(rows: DataFrame) -> DataFrame:
     """Rows with document number and person, blanks dropped."""
@@ -63,16 +65,22 @@ def shares_counts(rows: DataFrame) -> DataFrame:
 
 
 def shares_edges(rows: DataFrame, relation: str, distinct_pairs: bool = False) -> DataFrame:
-    """Document pairs that share a person, in row order. As many as a person's documents squared: for selected persons."""
+    """Document pairs that share a person, in row order. As many as a person's documents squared: for selected persons.
+
+    The documents of a person are hashed into parts of about ``PART``, and every document meets every part, so the pairs of
+    one person are made by many tasks. Partitions are counted by parts, as such rows are few bytes and many pairs.
+    """
     f = facts(rows)
     f = f.groupBy("doc", "person").agg(F.min("ord").alias("ord")) if distinct_pairs else f.select("doc", "person", "ord")
-    a, b = f.toDF("doc_a", "person", "ord_a"), f.toDF("doc_b", "person", "ord_b")
-    return a.join(b, "person").where("ord_a < ord_b").select(
-        F.concat(F.lit("document:"), F.col("doc_a").cast("string")).alias("src_id"),
-        F.lit(relation).alias("relation"),
-        F.concat(F.lit("document:"), F.col("doc_b").cast("string")).alias("dst_id"),
-        "person",
-    )
+    f = materialize(f.select(F.concat(F.lit("document:"), F.col("doc").cast("string")).alias("id"), "person", "ord"), "shared")
+    n = f.groupBy("person").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    n = materialize(n, "parts")
+    tasks = min(2000, max(1, n.agg(F.sum("parts")).first()[0] or 1))
+    r = f.join(n, "person")
+    a = r.select("person", F.col("id").alias("src_id"), F.col("ord").alias("ord_a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    b = r.select("person", F.col("id").alias("dst_id"), F.col("ord").alias("ord_b"), F.pmod(F.xxhash64("id", "ord"), "parts").cast("int").alias("part"))
+    a, b = (x.repartition(tasks, "person", "part") for x in (a, b))
+    return a.join(b.hint("shuffle_hash"), ["person", "part"]).where("ord_a < ord_b").select("src_id", F.lit(relation).alias("relation"), "dst_id", "person")
 
 
 def layer_stats(rows: DataFrame) -> DataFrame:

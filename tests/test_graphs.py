@@ -152,3 +152,16 @@ def test_planted_communities(spark, method):
     found = {r.node: r.community for r in N.communities(spark.createDataFrame(edges, "src string, dst string, weight double"), method).collect()}
     assert len({found[n] for n in found}) == 3
     assert all(len({found[n] for n in g}) == 1 for g in groups)
+
+
+def test_pairs_of_one_person_are_made_by_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "PART", 50, raising=False)
+    rows = [(i, str(i % 300), "P1") for i in range(310)] + [(400, "1", "P2"), (401, "2", "P3"), (402, "5", "P3"), (403, "x", "P1")]
+    df = spark.createDataFrame(rows, "ord bigint, doc_id string, person_id string")
+    found = L.shares_edges(df, "SHARES", True).withColumn("task", F.spark_partition_id()).collect()
+    wanted = [(f"document:{i}", f"document:{j}", "P1") for i in range(300) for j in range(i + 1, 300)] + [("document:2", "document:5", "P3")]
+    assert sorted((r.src_id, r.dst_id, r.person) for r in found) == sorted(wanted)
+    assert len({r.task for r in found}) > 2
+    assert L.shares_edges(df.limit(0), "SHARES", True).count() == 0
