@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,15 +66,16 @@ _NUMBER_FORM = re.compile(
     r"(?:\(?\+\d{1,3}\)?[ .\-\xa0]?|(?<![\w])[A-Z]{1,2}(?=\d{6}))?(?:\(\d{1,5}\)[ .\-\xa0]?)?\d+(?:(?:[ .\-/\xa0]|\r?\n)\d+)*(?:-?[A-Z](?![\w]))?"
 )
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
-_CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*"
+_CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]*+(?:['’-][^\W\d_]++)*"
 _ONE = rf"(?:(?:[A-ZÀ-ÖØ-Þ]|Mrs?|Ms|Dra?|Prof|Sra?|Srta|Mme|Mlle|MRS?|MS|DRA?|SRA?|SRTA)\.(?=\s)|{_CAP})"
 _GAP = r"(?:[ \xa0]|\r?\n[ \t]*)"
 _NEXT = rf"{_GAP}(?:(?:von|van|zu|de|del|la|las|los|du|der|le){_GAP}){{0,2}}{_ONE}"
-# two words and more, or one before a comma; that it begins with a plain set of letters lets the scan skip to them
+# two words and more, or one before a comma; that it begins with a plain set of letters lets the scan skip to them, and
+# that no letter is given back ends it soon where a word stands alone
 _RUN = re.compile(
     r"[A-ZÀ-ÖØ-Þ](?<![\w@'’.-].)"
-    r"(?:(?:(?<=M)(?:rs?|s|me|lle|RS?|S)|(?<=D)(?:ra?|RA?)|(?<=P)rof|(?<=S)(?:ra?|rta?|RA?|RTA)|)\.(?=\s)|[^\W\d_]*(?:['’-][^\W\d_]+)*)"
-    rf"(?:(?:{_NEXT})+(?![\w@])|(?![\w@])(?=,))"
+    r"(?:(?:(?<=M)(?:rs?|s|me|lle|RS?|S)|(?<=D)(?:ra?|RA?)|(?<=P)rof|(?<=S)(?:ra?|rta?|RA?|RTA)|)\.(?=\s)|[^\W\d_]*+(?:['’-][^\W\d_]++)*+)"
+    rf"(?=[ \xa0\r\n,])(?:(?:{_NEXT})+(?![\w@])|(?![\w@])(?=,))"
 )
 _COMMA_FIRST = re.compile(rf",{_GAP}({_CAP}(?:{_GAP}[A-ZÀ-ÖØ-Þ]\.)?)(?=\s*[,;.:)(]|{_GAP}[a-zà-ÿ(])")
 _PARTED = re.compile("['’-]")
@@ -83,8 +85,11 @@ _LOWER = re.compile(rf"{_GAP}?({_ANY}(?:,?{_GAP}{_ANY}){{1,3}})")
 _LOWER_BEFORE = re.compile(rf"(?<![\w'’-])({_ANY}(?:,?{_GAP}{_ANY}){{1,3}}){_GAP}?$")
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ODD = re.compile(r"[^\x00-\x7f\w]|[^\x00-\x7f\D]")
+_ASCII_RUN = re.compile(rb"[A-Za-z]+")
+_IS_LETTER = bytes(i < 128 and chr(i).isalpha() for i in range(256))
 _LETTERS = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
 _LOWER_INITIAL = re.compile(rf"\.(?<=[^\W\d_A-Z].)(?<!\w..)(?:{_GAP}[^\W\d_]\.)*(?:{_GAP}({_NAME_WORD.pattern}))?")
+_ANY_INITIAL = re.compile(r"\.(?<=[^\W\d_].)(?<!\w..)")
 _BEFORE_INITIAL = re.compile(rf"({_NAME_WORD.pattern}),{_GAP}$")
 _NEXT_NAME = re.compile(rf"(?:,|;|{_GAP}(?:and|et|und|y)){_GAP}")
 
@@ -112,18 +117,40 @@ class Candidate(NamedTuple):
 
 def _sides(text: str, start: int, end: int, floor: int = 0) -> tuple[list[str], list[str]]:
     """The last two tokens before and the first two after; ``floor`` is the end of a name just before, written <n>."""
-    left = _around(text, max(floor, start - 32), start, slice(-3, None))
+    left = _before(text, max(floor, start - 32), start, 3)
     if floor and len(left) < 2 and floor >= start - 32:
         left.insert(0, "<n>")
-    return left, _around(text, end, end + 24, slice(2))
+    return left, _after(text, end, end + 24)
 
 
-def _around(text: str, start: int, end: int, part: slice) -> list[str]:
-    """The folded tokens of a window, some of the first or the last."""
-    found = text[start:end].split()[part]
-    if "".join(found).isalpha():  # blanks alone part these tokens
-        return [w.lower() for w in found]
-    return _fold(_TOKEN.findall(text, start, end)[part])
+def _before(text: str, start: int, end: int, most: int) -> list[str]:
+    """The last folded tokens of a window."""
+    out: list[str] = []
+    for w in reversed(text[start:end].rsplit(None, most)):
+        if w.isalpha():
+            out.append(w.lower())
+        elif w[:-1].isalpha() and not (w[-1].isalnum() or w[-1] == "_"):
+            out += w[-1], w[:-1].lower()
+        else:
+            out += reversed(_fold(_TOKEN.findall(w)))
+        if len(out) >= most:
+            break
+    return out[most - 1 :: -1] if len(out) > most else out[::-1]
+
+
+def _after(text: str, start: int, end: int) -> list[str]:
+    """The first two folded tokens of a window."""
+    out: list[str] = []
+    for w in text[start:end].split(None, 2)[:2]:
+        if w.isalpha():
+            out.append(w.lower())
+        elif w[1:].isalpha() and not (w[0].isalnum() or w[0] == "_"):
+            out += w[0], w[1:].lower()
+        else:
+            return _fold(_TOKEN.findall(text, start, end)[:2])
+        if len(out) > 1:
+            break
+    return out[:2]
 
 
 def _cue(tokens: list[str]) -> str:
@@ -157,9 +184,10 @@ def numbers(text: str) -> Iterator[Candidate]:
             if e - s >= 7 and sum(map(str.isdigit, value)) >= 7 and not (s and (text[s - 1].isalnum() or text[s - 1] in "$€")) and not text[e : e + 1].isalnum():
                 if value[0] == "(" and value.count("(") > value.count(")"):
                     s, value = s + 1, value[1:]
-                left = _around(text, max(0, s - 32), s, slice(-3, None))
-                seed = "phone" if value.lstrip("(").startswith("+") else _cue(_around(text, max(0, s - 60), s, slice(-CUES, None)))
-                yield Candidate(s, e, shape(value), list(dict.fromkeys(" ".join(left[-k:]) for k in (3, 2, 1))), seed)
+                left = _before(text, max(0, s - 32), s, 3)
+                seed = "phone" if value.lstrip("(").startswith("+") else _cue(_before(text, max(0, s - 60), s, CUES))
+                patterns = [" ".join(left), f"{left[1]} {left[2]}", left[2]] if len(left) == 3 else list(dict.fromkeys(" ".join(left[-k:]) for k in (3, 2, 1)))
+                yield Candidate(s, e, shape(value), patterns, seed)
             begin = at = max(e, begin + 1)
             while begin < m.end() and not (text[begin].isdigit() or text[begin] in "+("):
                 begin += 1
@@ -181,12 +209,13 @@ def _stops(word: str) -> bool:
 
 
 def _line_breaks(text: str, run: re.Match) -> list[int]:
-    """Line ends inside a run that end a short line, such as a heading; a run goes on over the end of a wrapped line."""
+    """Line ends inside a run that end a short line, such as a heading; a run goes on over the end of a wrapped line.
+    Offsets in the run."""
     out = []
     at = text.find("\n", run.start(), run.end())
     while at >= 0:
         if at - max(text.rfind("\n", 0, at), text.rfind("\r", 0, at - 1)) < 50:
-            out.append(at)
+            out.append(at - run.start())
         at = text.find("\n", at + 1, run.end())
     return out
 
@@ -204,37 +233,55 @@ def _inner(text: str, r: Run) -> Run | None:
 _SPECIAL = NOT_NAMES | ADDRESS_FORMS | BODY_WORDS
 
 
-def runs(text: str, french: bool) -> Iterator[Run]:
-    previous = 0
-    for m in _RUN.finditer(text):
-        whole, at = m[0], m.start()
-        words = whole.split()
-        lows = whole.lower().split()
-        if "." in whole:
-            lows = [w.rstrip(".") for w in lows]
-        if _SPECIAL.isdisjoint(lows) and "\n" not in whole and not (french and "m" in lows):
-            parts = [(at, m.end(), words, False, True)]
-        elif len(words) == 1 and whole.lower() in NOT_NAMES:
-            continue  # the first half of "Last, First" is no function word
-        elif NOT_NAMES.isdisjoint(lows) and ADDRESS_FORMS.isdisjoint(lows) and not BODY_WORDS.isdisjoint(lows) and "\n" not in whole and not (french and "m" in lows):
-            continue  # one part, which names a body
-        else:
-            parts = list(_parts(text, m, french))
-        for start, end, part, seed, first in parts:
-            opens = False
-            if first and not seed:
-                head = text[max(0, at - 3) : at].rstrip(" \t\xa0")
-                opens = not head or head[-1] in ".!?;\n\r…”" or not head[-1].isalnum() and head[-1] not in ",:-–—("
-            yield Run(start, end, part, seed, opens, previous if previous > start - 12 else 0)
-            previous = end
+# the parts of runs on one line, which depend on nothing else; of French texts apart; long runs are not kept
+_READ: tuple[dict[str, list], dict[str, list]] = ({}, {})
+_READ_MOST = 50_000
 
 
-def _parts(text: str, m: re.Match, french: bool) -> Iterator[tuple[int, int, list[str], bool, bool]]:
+def runs(text: str, french: bool) -> Iterator[Run]:
+    previous, read = 0, _READ[french]
+    for m in _RUN.finditer(text):
+        whole = m[0]
+        parts = read.get(whole)
+        if parts is None:
+            if "\n" in whole or len(whole) > 100:
+                parts = _read(whole, _line_breaks(text, m), french)
+            else:
+                if len(read) >= _READ_MOST:
+                    read.clear()
+                parts = read[whole] = _read(whole, (), french)
+        if parts:
+            at = m.start()
+            for start, end, part, seed, first in parts:
+                opens = False
+                if first and not seed:
+                    head = text[max(0, at - 3) : at].rstrip(" \t\xa0")
+                    opens = not head or head[-1] in ".!?;\n\r…”" or not head[-1].isalnum() and head[-1] not in ",:-–—("
+                start += at
+                yield Run(start, at + end, part, seed, opens, previous if previous > start - 12 else 0)
+                previous = at + end
+
+
+def _read(whole: str, breaks: Sequence[int], french: bool) -> list[tuple[int, int, list[str], bool, bool]]:
+    """The parts of a run, with offsets in it."""
+    lows = whole.lower().split()
+    if "." in whole:
+        lows = [w.rstrip(".") for w in lows]
+    plain = "\n" not in whole and not (french and "m" in lows)
+    if plain and _SPECIAL.isdisjoint(lows):
+        return [(0, len(whole), whole.split(), False, True)]
+    if whole.lower() in NOT_NAMES:
+        return []  # the first half of "Last, First" is no function word
+    if plain and NOT_NAMES.isdisjoint(lows) and ADDRESS_FORMS.isdisjoint(lows) and not BODY_WORDS.isdisjoint(lows):
+        return []  # one part, which names a body
+    return list(_parts(whole, breaks, french))
+
+
+def _parts(whole: str, breaks: Sequence[int], french: bool) -> Iterator[tuple[int, int, list[str], bool, bool]]:
     """A run cut at forms of address, function words and ends of short lines; parts that name a body are left out."""
-    breaks = _line_breaks(text, m) if "\n" in m[0] else ()
     seed, opened, part = False, True, []
     parts: list[tuple[list[tuple[int, str]], bool, bool]] = []
-    for w in [(m.start() + w.start(), w[0]) for w in _SPACED.finditer(m[0])]:
+    for w in [(w.start(), w[0]) for w in _SPACED.finditer(whole)]:
         if part and breaks and any(part[-1][0] < b < w[0] for b in breaks):
             parts.append((part, seed, opened))
             seed, part = False, []
@@ -264,6 +311,10 @@ def _last(word: str) -> str:
 
 
 def _name_patterns(left: list[str], right: list[str]) -> list[str]:
+    if len(left) > 1 and len(right) > 1:  # no two are alike
+        l1, r1 = left[-1], right[0]
+        l2, r2 = f"{left[-2]} {l1}", f"{r1} {right[1]}"
+        return [f"{l2}|", f"|{r2}", f"{l2}|{r1}", f"{l1}|{r2}"]
     l2, l1, r1, r2 = " ".join(left[-2:]), " ".join(left[-1:]), " ".join(right[:1]), " ".join(right)
     out = [f"{l2}|", f"|{r2}", f"{l2}|{r1}", f"{l1}|{r2}"]
     return [p for p in dict.fromkeys(out) if p.strip("|")]
@@ -275,7 +326,7 @@ def _patterns(text: str, r: Run) -> list[str]:
 
 def _matched(text: str, r: Run, model: Model, known: bool) -> list[str]:
     """The patterns of a run that the model has; where no word of the run is known, those with a word before it."""
-    if not known and r.floor < r.start - 32 and "".join(_around(text, max(0, r.start - 32), r.start, slice(-1, None))) not in model.lefts:
+    if not known and r.floor < r.start - 32 and "".join(_before(text, max(0, r.start - 32), r.start, 1)) not in model.lefts:
         return []
     return [p for p in _patterns(text, r) if p in model.patterns]
 
@@ -591,8 +642,8 @@ def _is_last(model: Model, word: str) -> bool:
     return low in model.last or "-" in low and any(p in model.last for p in low.split("-") if len(p) > 2)
 
 
-def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]]:
-    """``(kind, start, end)`` of all personal data of a text, in order."""
+def find(text: str, lang: str | None, model: Model, told: bool = True) -> list[tuple[str, int, int]]:
+    """``(kind, start, end)`` of all personal data of a text, in order; ``told``: it may hold a given name in lower case."""
     out: list[tuple[str, int, int]] = []
 
     def add(kind: str, start: int, end: int) -> None:
@@ -629,7 +680,7 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
             if text[end - 2 : end] in ("'s", "’s"):
                 end -= 2
             add("name", r.start, end)
-    anchors = _lower_anchors(text, model)
+    anchors = _lower_anchors(text, model, told)
     if anchors:
         for tokens in _windows(text, anchors):
             folded = [x for _, _, x in tokens]
@@ -646,21 +697,93 @@ def find(text: str, lang: str | None, model: Model) -> list[tuple[str, int, int]
     return sorted(out, key=lambda x: (x[1], x[2]))
 
 
-def _lower_anchors(text: str, model: Model) -> list[tuple[int, int]]:
-    """Where given names in any case and initials stand, if a name in lower case may stand in the text: if it holds a given
-    name in lower case, or an initial in lower case beside a last name."""
+class GivenNames:
+    """Which of many texts may hold one of the given names in lower case, looked up by their letters in one array.
+
+    A text is told by the longest run of ASCII letters of a name, so some are told that hold none, and none is missed.
+    """
+
+    AT_ONCE = 1 << 20  # letters of the texts looked up together; a longer text is told without being looked at
+
+    def __init__(self, given: frozenset[bytes]) -> None:
+        runs = {max(_ASCII_RUN.findall(g), key=len, default=b"") for g in given}
+        self.beyond = b"" in runs  # a name without ASCII letters may stand in any text that has others
+        self.runs = runs - {b""}
+        # lengths (63 for more) of the runs by their first two letters, and by their first and last
+        self.second, self.last = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+        for w in self.runs:
+            bit = np.uint64(1 << min(len(w), 63))
+            self.second[w[0] << 8 | (w[1] if len(w) > 1 else 0)] |= bit
+            self.last[w[0] << 8 | w[-1]] |= bit
+
+    def told(self, texts: list[str | None]) -> list[bool]:
+        out, some, size = [False] * len(texts), [], 0
+        for i, t in enumerate(texts):
+            if t and (len(t) > self.AT_ONCE or self.beyond and not t.isascii()):
+                out[i] = True
+            elif t:
+                some.append(i)
+                size += len(t)
+                if size > self.AT_ONCE:
+                    self._tell(texts, some, out)
+                    some, size = [], 0
+        if some:
+            self._tell(texts, some, out)
+        return out
+
+    def _tell(self, texts: list[str | None], some: list[int], out: list[bool]) -> None:
+        parts = [texts[i].encode() for i in some]
+        whole = b"\n".join(parts) + b"\n"
+        b = np.frombuffer(whole, np.uint8)
+        letter = np.frombuffer(whole.translate(_IS_LETTER), np.bool_)
+        turns = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        if letter[0]:
+            turns = np.concatenate([[0], turns])
+        start, end = turns[::2], turns[1::2]  # the last byte is no letter
+        bit = np.left_shift(np.uint64(1), np.minimum(end - start, 63).astype(np.uint64))
+        lead = b[start].astype(np.uint16) << 8
+        near = np.flatnonzero(self.second[lead | np.where(end - start > 1, b[start + 1], 0)] & bit)
+        near = near[(self.last[lead[near] | b[end[near] - 1]] & bit[near]) != 0]
+        start, end = start[near], end[near]
+        hits = [s for s, e in zip(start.tolist(), end.tolist()) if whole[s:e] in self.runs]
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        for at in set(np.searchsorted(ends, hits, "right").tolist()):
+            out[some[at]] = True
+
+
+def _holds_given(text: str, model: Model) -> bool:
     # runs of letters, as bytes: quickly made and looked up; a part of a hyphened name counts as well
     letters = (text if text.isascii() else _ODD.sub(" ", text)).encode().translate(_LETTERS).split()
-    if not (any(w in model.given for w in letters) if isinstance(model.given, _Both) else not model.given.isdisjoint(letters)):
+    return any(w in model.given for w in letters) if isinstance(model.given, _Both) else not model.given.isdisjoint(letters)
+
+
+def _lower_anchors(text: str, model: Model, told: bool = True) -> list[tuple[int, int]]:
+    """Where given names in any case and initials stand, if a name in lower case may stand in the text: if it holds a given
+    name in lower case, which is not looked for unless ``told``, or an initial in lower case beside a last name."""
+    if not (told and _holds_given(text, model)):
         for m in _LOWER_INITIAL.finditer(text):
             if m[1] and _is_last(model, m[1]) or (b := _BEFORE_INITIAL.search(text, max(0, m.start() - 61), m.start() - 1)) and _is_last(model, b[1]):
                 break
         else:
             return []
-    words = set(_NAME_WORD.findall(text))
-    given = sorted({re.escape(w) for w in words if w.lower() in model.first}, key=len, reverse=True)
-    anchor = re.compile("|".join([rf"(?<![^\W\d_])(?:{'|'.join(given)})(?![^\W\d_])", r"(?<!\w)[^\W\d_]\."] if given else [r"(?<!\w)[^\W\d_]\."]))
-    return [m.span() for m in anchor.finditer(text)]
+    spans = [(m.start() - 1, m.end()) for m in _ANY_INITIAL.finditer(text)]
+    for w in set(_NAME_WORD.findall(text)):
+        if w.lower() in model.first:
+            at = text.find(w)
+            while at >= 0:
+                end = at + len(w)
+                if not (at and _is_letter(text[at - 1]) or end < len(text) and _is_letter(text[end])):
+                    spans.append((at, end))
+                at = text.find(w, at + 1)
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):  # the longest of those that begin together
+        if not out or s >= out[-1][1]:
+            out.append((s, e))
+    return out
+
+
+def _is_letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
 
 
 def _windows(text: str, anchors: list[tuple[int, int]]) -> Iterator[list[tuple[int, int, str]]]:
@@ -720,14 +843,16 @@ def _lower_tail(text: str, model: Model) -> tuple[int, int] | None:
 
 def _finder(model, do):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = GivenNames(model.value.given)
         for batch in batches:
             rows = []
             more = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for k, t, la, x in zip(*(batch.column(i).to_pylist() for i in range(3)), more):
+            keys, texts, langs = (batch.column(i).to_pylist() for i in range(3))
+            for k, t, la, x, told in zip(keys, texts, langs, more, given.told(texts)):
                 m = model.value
                 if x:
-                    m = Model(*map(_Both, m, _model([tuple(e.values()) for e in x])))
-                rows.append((k, t, find(t, la, m) if t else []))
+                    m, told = Model(*map(_Both, m, _model([tuple(e.values()) for e in x]))), True
+                rows.append((k, t, find(t, la, m, told) if t else []))
             yield do(batch, rows)
 
     return run

@@ -106,6 +106,28 @@ def test_learned_signs_and_forms(spark):
             assert [v for k, v in kinds if k == "address"] == [t[22 : t.index(" now")]], (t, kinds)
 
 
+def test_a_run_is_read_once(monkeypatch):
+    calls, parts = [], private_data._parts
+    monkeypatch.setattr(private_data, "_parts", lambda *a: calls.append(a) or parts(*a))
+    text = "then Mr. Quelborn spoke of the National Council of Lindrau. " * 50
+    found = list(private_data.runs(text, False))
+    assert len(found) == 50 and len({(r.start - i * 60, *r.words, r.seed) for i, r in enumerate(found)}) == 1
+    assert len(calls) <= 2
+
+
+def test_texts_told_of_given_names(monkeypatch):
+    given = frozenset(w.encode() for w in ("ione", "jo", "côme", "óñ", "élodie", "x" * 70))
+    model = NAMED._replace(given=given)
+    texts = [None, "", "ione", "an ion", "Ione", "(ione)", "ionel", "so jo-ann", "jo", "«jo»", "ajo", "the ion e", "côme", "came", "l’élodie", "x" * 70, "x" * 71, "jo" + "y" * 50, "ó ñ", "óñ", "plain " * 9]
+    texts += [t + s for t in texts if t for s in ("", " ione", "\nÀ jo.")]
+    for names in (given, given - {"óñ".encode()}, frozenset()):
+        for most in (1 << 20, 20):
+            monkeypatch.setattr(private_data.GivenNames, "AT_ONCE", most)
+            told = private_data.GivenNames(names).told(texts)
+            assert all(x for t, x in zip(texts, told) if t and private_data._holds_given(t, model._replace(given=names)))
+            assert not any(told[:2]) and (most == 20 or not told[3] and not told[20])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert find_private(df, "doc_id", "text", "lang").count() == 0
