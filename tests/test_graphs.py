@@ -1,12 +1,16 @@
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from quillmesh.operators import graph as G
 from quillmesh.operators import layers as Y
 from quillmesh.operators import legislators as L
 from quillmesh.operators import networks as N
+from quillmesh.operators import streamed_louvain as S
 from quillmesh.operators.components import connected_components
 
 
@@ -165,3 +169,42 @@ def test_pairs_of_one_person_are_made_by_many_tasks(spark, monkeypatch):
     assert sorted((r.src_id, r.dst_id, r.person) for r in found) == sorted(wanted)
     assert len({r.task for r in found}) > 2
     assert L.shares_edges(df.limit(0), "SHARES", True).count() == 0
+
+
+def _two_graphs():
+    r = random.Random(8)
+    return [(f"{p}{a}", f"{p}{b}", 0.25 + r.random() * (0.5 if a // 9 == b // 9 else 0.1), p) for p in "xy" for a in range(60) for b in range(a) if r.random() < (0.7 if a // 9 == b // 9 else 0.15)]
+
+
+@pytest.mark.parametrize("most", [None, 12])
+def test_louvain_of_many_edges_is_streamed(spark, monkeypatch, most):
+    df = spark.createDataFrame(_two_graphs(), "src string, dst string, weight double, area string")
+    rows = lambda x: {r.node: (r.community, round(r.inside, 9)) for r in N.weighed_communities(x, "louvain", 1.5, most=most, part="area").collect()}
+    wanted = rows(df)
+    assert len(wanted) == 120 and 2 < len({c for c, _ in wanted.values()}) < 60
+    monkeypatch.setattr(N, "MOST_EDGES", 50)  # more were refused
+    assert rows(df) == rows(df.orderBy("weight")) == wanted
+    assert N.communities(df, "louvain").columns == ["node", "community"]
+    with pytest.raises(ValueError, match="more than 50 edges"):
+        N.communities(df, "greedy")
+    with pytest.raises(Exception, match="has one twice"):
+        N.communities(df.union(df.limit(1)), "louvain").collect()
+
+
+def test_streamed_louvain_in_files_and_stretches(monkeypatch, tmp_path):
+    edges = _two_graphs()
+    adj = {}
+    for a, b, w, _ in edges:
+        adj.setdefault(a, {})[b] = adj.setdefault(b, {})[a] = w
+    names = pd.Index(sorted(adj))
+    ends = np.concatenate(([0], np.cumsum([len(adj[v]) for v in names])))
+    monkeypatch.setattr(S, "HELD", 40)
+    monkeypatch.setattr(S, "AT_ONCE", 64)
+    monkeypatch.setattr(S, "STRETCH", 8)
+    columns = [pa.array(c) for c in list(zip(*edges))[:3]]
+    batches = pa.RecordBatch.from_arrays(columns, ["src", "dst", "weight"])
+    g = S._read((batches.slice(i, 100) for i in range(0, len(edges), 100)), names, ends, S._space(str(tmp_path)))
+    assert isinstance(g.near, np.memmap) and len(list(g.stretches())) > 20
+    found = S._louvain(g, 1.5)
+    assert dict(zip(names, names[found])) == N.louvain(list(names), adj, 1.5)
+    assert len(S._louvain(S._Graph(np.zeros(1, np.int64), g.near[:0], g.weight[:0]), 1.5)) == 0
