@@ -187,3 +187,16 @@ def test_scalars(spark):
     r = df.select(shown.file_stem(F.col("t")).alias("stem"), shown.blank_date(F.col("d")).alias("d"), F.map_keys(shown.truthy_entries(F.col("m"))).alias("m"), shown.plain_reason(F.lit("short_name, odd")).alias("why"), shown.first_counted(F.lit('{"x": 1, "bills": [1, 2]}'), ["amendments", "bills"]).alias("n"), shown.context_of(F.col("t"), F.lit("zzz"), F.lit("Board")).alias("at")).first()
     assert tuple(r) == ("harbor_board_the__x", None, ["c"], "the name is short, odd", 2, 7)
     assert shown.header_preview(list("abcdefg")) == "a, b, c, d, e, … (7 columns)" and shown.header_preview(["a"]) == "a"
+
+
+def test_labels_of_communities_of_many_edges(spark, monkeypatch):
+    from quillmesh.operators import networks as N
+
+    docs = spark.createDataFrame([(d, str(d), "", f"w{d // 10} common", None, None) for d in range(30)], "ord bigint, doc_id string, link string, short_summary string, long_summary string, tags string")
+    tags = spark.createDataFrame([(d, f"strategies: {d // 10}") for d in range(30)], "doc bigint, tag string")
+    people = spark.createDataFrame([(d, str(d), "P", "RD"[d // 10 % 2]) for d in range(30)], "ord bigint, doc_id string, person_id string, party string")
+    monkeypatch.setattr(N, "MOST_EDGES", 100)  # 135 similar pairs were refused
+    members = D.document_communities(docs, tags)
+    assert {r.centrality for r in members.collect()} == {0.75}
+    labels = D.community_labels(members.select("doc", "community"), tags, people).orderBy("community").collect()
+    assert [tuple(r) for r in labels] == [(f"community:{i + 1:03}", 10, f"strategies: {i}", [f"strategies: {i}"], "RD"[i % 2]) for i in range(3)]
