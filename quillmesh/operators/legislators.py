@@ -65,7 +65,7 @@ def shares_counts(rows: DataFrame) -> DataFrame:
 
 
 def shares_edges(rows: DataFrame, relation: str, distinct_pairs: bool = False) -> DataFrame:
-    """Document pairs that share a person, in row order. As many as a person's documents squared: for selected persons.
+    """Document pairs that share a person, in row order. As many as a person's documents squared.
 
     The documents of a person are hashed into parts of about ``PART``, and every document meets every part, so the pairs of
     one person are made by many tasks. Partitions are counted by parts, as such rows are few bytes and many pairs.

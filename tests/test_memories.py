@@ -200,3 +200,13 @@ def test_labels_of_communities_of_many_edges(spark, monkeypatch):
     assert {r.centrality for r in members.collect()} == {0.75}
     labels = D.community_labels(members.select("doc", "community"), tags, people).orderBy("community").collect()
     assert [tuple(r) for r in labels] == [(f"community:{i + 1:03}", 10, f"strategies: {i}", [f"strategies: {i}"], "RD"[i % 2]) for i in range(3)]
+
+
+def test_shared_documents_of_every_person(spark, tmp_path):
+    from quillmesh.plans import memories
+
+    rows = [(1, "1", "P100"), (2, "2", "P100"), (3, "1", "P101"), (4, "3", "P101"), (5, "3", " P101 "), (6, "2", "P101"), (7, "4", "P2"), (8, None, "P101"), (9, "5", " "), (10, "6", " ")]
+    df = spark.createDataFrame([(*r, False, False) for r in rows] + [(11, "7", "P101", False, True)], "ord bigint, doc_id string, person_id string, is_original boolean, is_withdrawn boolean")
+    df.write.parquet(str(tmp_path / "cosponsor_rows.parquet"))
+    found = sorted((r.src_id[9:], r.dst_id[9:], r.person) for r in memories.QUERIES["shares_cosponsor_edges"](spark, str(tmp_path)).collect())
+    assert found == [("1", "2", "P100"), ("1", "2", "P101"), ("1", "3", "P101"), ("3", "2", "P101")]
